@@ -99,3 +99,30 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioweave.llm.bpe import once, token_ids
 
     return token_ids(once(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# 1. Variant spellings of names
+
+
+def _linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioweave.llm.names import link_names
+
+    edges = table(spark, sf_dir, "edges")
+    spelled = edges.select("book_id", F.explode(F.array("source", "target")).alias("name")).unionByName(table(spark, sf_dir, "i_e2c").select("book_id", F.col("entity").alias("name")))
+    return link_names(spelled)
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one entity of a book."""
+    from folioweave.llm.names import variant_pairs
+
+    return variant_pairs(_linked_names(spark, sf_dir))
+
+
+@query()
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling of a book with its entity and the entity's number of spellings."""
+    from pyspark.sql import Window
+
+    return _linked_names(spark, sf_dir).select("book_id", "name", F.count(F.lit(1)).over(Window.partitionBy("book_id", "entity")).alias("n_spellings"), F.min("name").over(Window.partitionBy("book_id", "entity")).alias("entity"))
