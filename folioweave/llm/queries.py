@@ -126,3 +126,14 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     return _linked_names(spark, sf_dir).select("book_id", "name", F.count(F.lit(1)).over(Window.partitionBy("book_id", "entity")).alias("n_spellings"), F.min("name").over(Window.partitionBy("book_id", "entity")).alias("entity"))
+
+
+# 4. Broken prompt and response pairs
+
+
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each prediction with a defect and its type."""
+    from folioweave.llm.answers import answer_defects
+
+    return answer_defects(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "common_words"))
