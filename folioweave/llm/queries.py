@@ -137,3 +137,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioweave.llm.answers import answer_defects
 
     return answer_defects(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "common_words"))
+
+
+# 9. Text quality statistics
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioweave.llm.quality import document_kinds
+
+    return document_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that is a list, a table or junk."""
+    return _kinds(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query()
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality statistics, outlier score and kind of each document with text."""
+    return _kinds(spark, sf_dir)
