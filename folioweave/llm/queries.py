@@ -158,3 +158,24 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality statistics, outlier score and kind of each document with text."""
     return _kinds(spark, sf_dir)
+
+
+# 6. Most similar vectors for every vector
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of nodes of which at least one is among the 10 nearest of the other."""
+    from folioweave.llm.neighbours import nearest
+
+    near = nearest(table(spark, sf_dir, "nodes"), "node_key", "embedding", 96, 10).select("key", F.explode("near").alias("other"))
+    return near.select(F.least("key", "other").alias("node_a"), F.greatest("key", "other").alias("node_b")).distinct()
+
+
+@query()
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of each node with rank and cosine."""
+    from folioweave.llm.neighbours import nearest
+
+    near = nearest(table(spark, sf_dir, "nodes"), "node_key", "embedding", 96, 10)
+    return near.select(F.col("key").alias("node_key"), F.posexplode(F.arrays_zip("near", "cos")).alias("pos", "x")).select("node_key", (F.col("pos") + 1).alias("place"), F.col("x.near").alias("neighbour"), F.col("x.cos").alias("cosine"))
