@@ -179,3 +179,39 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     near = nearest(table(spark, sf_dir, "nodes"), "node_key", "embedding", 96, 10)
     return near.select(F.col("key").alias("node_key"), F.posexplode(F.arrays_zip("near", "cos")).alias("pos", "x")).select("node_key", (F.col("pos") + 1).alias("place"), F.col("x.near").alias("neighbour"), F.col("x.cos").alias("cosine"))
+
+
+# 2. Grouping records into similarity clusters
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from folioweave.llm.clusters import similar_groups
+
+    leaves = table(spark, sf_dir, "nodes").where("level = 0")
+    return similar_groups(leaves, "node_key", "embedding", 96), leaves
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of level-0 nodes of one group."""
+    from folioweave.llm.clusters import group_pairs
+
+    return group_pairs(_groups(spark, sf_dir)[0]).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+
+
+@query()
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group with its size, its three most typical members, and the share of its members that the summary tree put
+    under the parent it used most for them."""
+    from folioweave.llm.clusters import typical_members
+    from folioweave.session import cut
+
+    groups, leaves = _groups(spark, sf_dir)
+    groups = cut(groups, "groups")
+    described = typical_members(groups, leaves, "node_key", "embedding")
+    parents = table(spark, sf_dir, "nodes").where("level > 0").select("book_id", F.col("node_id").alias("parent"), F.explode(F.array_distinct("children")).alias("child"))
+    parents = parents.select("book_id", "parent", F.when(F.col("child").startswith("L"), F.col("child")).otherwise(F.concat(F.lit("L0_"), "child")).alias("node_id")).distinct()
+    ids = leaves.select("node_key", "book_id", "node_id").dropDuplicates(["node_key"])
+    under = groups.join(ids, groups["key"] == ids["node_key"]).join(parents, ["book_id", "node_id"]).groupBy("label", "book_id", "parent").agg(F.countDistinct("key").alias("m"))
+    most = under.groupBy("label").agg(F.max("m").alias("m"))
+    return described.join(most, "label", "left").select(F.col("label").alias("group_key"), F.col("n").alias("n_nodes"), "typical", F.round(F.coalesce("m", F.lit(0)) / F.col("n"), 6).alias("tree_share"))
