@@ -215,3 +215,27 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     under = groups.join(ids, groups["key"] == ids["node_key"]).join(parents, ["book_id", "node_id"]).groupBy("label", "book_id", "parent").agg(F.countDistinct("key").alias("m"))
     most = under.groupBy("label").agg(F.max("m").alias("m"))
     return described.join(most, "label", "left").select(F.col("label").alias("group_key"), F.col("n").alias("n_nodes"), "typical", F.round(F.coalesce("m", F.lit(0)) / F.col("n"), 6).alias("tree_share"))
+
+
+# 8. Mixing sources to target shares
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from folioweave.llm.bpe import once, token_counts
+    from folioweave.llm.mixing import mix
+
+    documents = table(spark, sf_dir, "documents")
+    counts = token_counts(once(documents.select("doc_id", "text")))
+    return mix(documents, counts, table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their tokens and copies."""
+    return _mix(spark, sf_dir)[0]
+
+
+@query()
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens that each source with a target reached."""
+    return _mix(spark, sf_dir)[1]
