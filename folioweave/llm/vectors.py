@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +15,34 @@ from pyspark.sql import functions as F
 FIT_ROWS = 60_000
 
 
-def matrix(column) -> np.ndarray:
-    """A column of arrays of one length as a matrix of doubles."""
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
+def unpack(column, size: int, kind=np.float32) -> np.ndarray:
+    """A column of packed vectors (pandas or Arrow) as a matrix."""
+    parts = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else list(column)
+    return np.frombuffer(b"".join(parts), kind).reshape(len(parts), size)
+
+
+def _rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of an array column's usable vectors, and those as a matrix."""
+    right = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False))
+    values = column.take(pa.array(right)).flatten()
+    rows = values.cast(pa.float32()).to_numpy(zero_copy_only=False).reshape(len(right), size)  # a null element becomes NaN
+    fine = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+    return right[fine], np.ascontiguousarray(rows[fine])
+
+
+def usable_rows(df: DataFrame, key: str, column: str, size: int) -> DataFrame:
+    """(key, v, digest) of the rows with a key and a usable vector: exactly `size` finite elements, not all zero. v: the
+    vector's floats, packed; digest: 16 bytes that are the same for exact copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = _rows(batch.column(1), size)
+            packed = [row.tobytes() for row in rows]
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(packed, pa.binary()), pa.array(digests, pa.binary())], ["key", "v", "digest"])
+
+    chosen = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(column).cast("array<float>").alias("v"))
+    return chosen.mapInArrow(run, "key bigint, v binary, digest binary")
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -27,11 +57,11 @@ def rotation(size: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def sample_units(vectors: DataFrame, key: str, column: str, total: int) -> np.ndarray:
-    """Unit vectors of a bounded sample of the rows, chosen by a hash of their key."""
+def sample_units(vectors: DataFrame, size: int, total: int) -> np.ndarray:
+    """Unit vectors of a bounded sample of packed rows, chosen by a hash of their key."""
     every = max(1, -(-total // FIT_ROWS))
-    rows = vectors.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(column).limit(2 * FIT_ROWS).toPandas()
-    return unit(matrix(rows[column])) if len(rows) else np.zeros((0, 0))
+    rows = vectors.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("v").limit(2 * FIT_ROWS).toPandas()
+    return unit(unpack(rows["v"], size).astype(np.float64))
 
 
 def centroids(sample: np.ndarray, count: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
