@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folioweave.plans import registry
 
-from pyspark.sql import DataFrame, SparkSession
 
+def _load() -> None:
+    from folioweave.plans import index_queries, retrieval_queries, text_queries  # noqa: F401  importing registers them
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
