@@ -3,6 +3,8 @@ ranked twice. All questions at once."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,45 +98,82 @@ def region_candidates(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("qid", "book_id", F.col("chunk_id").alias("node_id"), F.array(F.lit("region")).alias("sources"), F.lit(False).alias("is_edge_evidence"), "text")
 
 
-def stages(questions: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, node_texts: DataFrame, texts: DataFrame, leaves: DataFrame, node_entities: DataFrame, config: Region | None = None) -> dict[str, DataFrame]:
-    """All intermediate results by name, up to `route` (qid, mode) and `ranked`, the final candidates of each question."""
-    config = config or Region()
-    s: dict[str, DataFrame] = {}
-    s["selected"] = cut(tree_prune(questions, node_texts, config), "selected")
-    chunks = region_chunks(s["selected"], leaves)
-    if config.strict_reference_ids:  # region ids lose their prefix while all other tables keep it, as in the reference
-        chunks = chunks.withColumn("chunk_id", F.regexp_replace("chunk_id", "^L0_", ""))
-    s["chunks"] = cut(chunks, "chunks")
-    s["entities"] = cut(region_entities(s["selected"], node_entities), "region_entities")
-    direct = cut(seeds_found(entities, s["entities"]), "direct")
-    s["seeds_direct"] = direct
-    s["seeds_frequent"] = seeds_frequent(s["chunks"], s["entities"], mentions, direct, config.seed_fallback)
-    s["seeds"] = cut(direct.unionByName(s["seeds_frequent"].drop("freq")), "seeds")
-    s["records"] = cut(traverse(s["seeds"], edges, s["entities"], s["chunks"], config.max_hops), "records")
-    s["visited"] = visited(s["seeds"], s["records"])
-    found = candidates(s["records"], s["visited"], mentions, s["chunks"], texts, config.mentions_per_entity)
-    s["candidates"] = cut(entity_overlap(found, entities, node_entities), "candidates")
-    n_seeds = s["seeds"].groupBy("qid").agg(F.count(F.lit(1)).alias("n_seeds"))
-    n_found = s["candidates"].groupBy("qid").agg(F.count(F.lit(1)).alias("n_candidates"))
-    n_region = s["chunks"].groupBy("qid").agg(F.count(F.lit(1)).alias("n_region"))
-    n_records = s["records"].groupBy("qid").agg(F.count(F.lit(1)).alias("n_relations"))
-    counts = questions.select("qid")
-    for part in (n_seeds, n_found, n_region, n_records):
-        counts = counts.join(part, "qid", "left")
-    counts = counts.fillna(0, ["n_seeds", "n_candidates", "n_region", "n_relations"])
-    mode = F.when(F.col("n_seeds") < config.min_seeds, "fallback_no_seeds").when(F.col("n_candidates") < config.min_candidates, "fallback_no_candidates").otherwise("graph_traversal")
-    s["route"] = cut(counts.withColumn("mode", mode), "route")
-    walked = s["candidates"].join(s["route"].where("mode = 'graph_traversal'").select("qid"), "qid", "left_semi")
-    whole = s["chunks"].join(s["route"].where("mode <> 'graph_traversal'").select("qid"), "qid", "left_semi")
-    s["fallback"] = entity_overlap(region_candidates(whole, texts), entities, node_entities)
-    columns = ["qid", "book_id", "node_id", "sources", "is_edge_evidence", "overlap", "text"]
-    s["pool"] = prerank(walked.select(*columns).unionByName(s["fallback"].select(*columns)), config.candidate_pool)
-    s["ranked"] = rerank(s["pool"], questions, config.final_k)
-    return s
-
-
-def result(s: dict[str, DataFrame]) -> DataFrame:
+class Stages:
+    """The intermediate results of one run over all questions, each made once, when it is first asked for."""
+
+    def __init__(self, questions: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, node_texts: DataFrame, texts: DataFrame, leaves: DataFrame, node_entities: DataFrame, config: Region | None = None):
+        self.questions, self.given, self.mentions, self.edges = questions, entities, mentions, edges
+        self.node_texts, self.texts, self.leaves, self.node_entities = node_texts, texts, leaves, node_entities
+        self.config = config or Region()
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return cut(tree_prune(self.questions, self.node_texts, self.config), "selected")
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        rows = region_chunks(self.selected, self.leaves)
+        if self.config.strict_reference_ids:  # region ids lose their prefix while all other tables keep it, as in the reference
+            rows = rows.withColumn("chunk_id", F.regexp_replace("chunk_id", "^L0_", ""))
+        return cut(rows, "chunks")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return cut(region_entities(self.selected, self.node_entities), "region_entities")
+
+    @cached_property
+    def seeds_direct(self) -> DataFrame:
+        return cut(seeds_found(self.given, self.entities), "direct")
+
+    @cached_property
+    def seeds_frequent(self) -> DataFrame:
+        return seeds_frequent(self.chunks, self.entities, self.mentions, self.seeds_direct, self.config.seed_fallback)
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        return cut(self.seeds_direct.unionByName(self.seeds_frequent.drop("freq")), "seeds")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return cut(traverse(self.seeds, self.edges, self.entities, self.chunks, self.config.max_hops), "records")
+
+    @cached_property
+    def visited(self) -> DataFrame:
+        return visited(self.seeds, self.records)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        found = candidates(self.records, self.visited, self.mentions, self.chunks, self.texts, self.config.mentions_per_entity)
+        return cut(entity_overlap(found, self.given, self.node_entities), "candidates")
+
+    @cached_property
+    def route(self) -> DataFrame:
+        counted = lambda rows, name: rows.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
+        counts = self.questions.select("qid")
+        for rows, name in ((self.seeds, "n_seeds"), (self.candidates, "n_candidates"), (self.chunks, "n_region"), (self.records, "n_relations")):
+            counts = counts.join(counted(rows, name), "qid", "left")
+        counts = counts.fillna(0, ["n_seeds", "n_candidates", "n_region", "n_relations"])
+        mode = F.when(F.col("n_seeds") < self.config.min_seeds, "fallback_no_seeds").when(F.col("n_candidates") < self.config.min_candidates, "fallback_no_candidates").otherwise("graph_traversal")
+        return cut(counts.withColumn("mode", mode), "route")
+
+    @cached_property
+    def fallback(self) -> DataFrame:
+        whole = self.chunks.join(self.route.where("mode <> 'graph_traversal'").select("qid"), "qid", "left_semi")
+        return entity_overlap(region_candidates(whole, self.texts), self.given, self.node_entities)
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        walked = self.candidates.join(self.route.where("mode = 'graph_traversal'").select("qid"), "qid", "left_semi")
+        columns = ["qid", "book_id", "node_id", "sources", "is_edge_evidence", "overlap", "text"]
+        return prerank(walked.select(*columns).unionByName(self.fallback.select(*columns)), self.config.candidate_pool)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return rerank(self.pool, self.questions, self.config.final_k)
+
+
+def result(stages: Stages) -> DataFrame:
     """One row a question: mode, counts, chunk ids and context in final order; questions without evidence have none."""
     ordered = F.array_sort(F.collect_list(F.struct("place", "node_id", "text")))
-    texts = s["ranked"].groupBy("qid").agg(ordered.alias("o")).select("qid", F.array_join(F.transform("o", lambda x: x["node_id"]), ",").alias("chunk_ids"), F.array_join(F.transform("o", lambda x: x["text"]), "\n\n").alias("context"))
-    return s["route"].join(texts, "qid", "left").select("qid", "mode", "n_seeds", "n_region", "n_relations", "n_candidates", F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"), F.coalesce("context", F.lit("")).alias("context"))
+    texts = stages.ranked.groupBy("qid").agg(ordered.alias("o")).select("qid", F.array_join(F.transform("o", lambda x: x["node_id"]), ",").alias("chunk_ids"), F.array_join(F.transform("o", lambda x: x["text"]), "\n\n").alias("context"))
+    return stages.route.join(texts, "qid", "left").select("qid", "mode", "n_seeds", "n_region", "n_relations", "n_candidates", F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"), F.coalesce("context", F.lit("")).alias("context"))

@@ -176,14 +176,14 @@ po AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid
 rr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pre)::INT AS place FROM (SELECT po.*, {token_overlap_sql('ro.question', 'po.text')} AS score FROM po JOIN ro USING (qid)) u) w WHERE place <= {C2.final_k})"""
 
 
-def _c2(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _c2(spark: SparkSession, d: str) -> region.Stages:
     questions = cut(views.questions(table(spark, d, "predictions"), "C2"), "questions")
     mentions = cut(load(spark, d, "mentions"), "mentions")
     entities = cut(question_entities(questions, mentions), "entities")
     leaves = cut(load(spark, d, "leaves"), "leaves")
     bridge = cut(leaves.join(mentions, ["book_id", "chunk_id"]).select("book_id", "node_id", "entity").distinct(), "bridge")
     chunks = load(spark, d, "chunks")
-    return region.stages(questions, entities, mentions, load(spark, d, "graph"), cut(load(spark, d, "node_texts"), "node_texts"), chunks, leaves, bridge, C2)
+    return region.Stages(questions, entities, mentions, load(spark, d, "graph"), cut(load(spark, d, "node_texts"), "node_texts"), chunks, leaves, bridge, C2)
 
 
 @query(SELECTED_SQL + " SELECT qid, node_id, score, place FROM sl", recursive=True)
@@ -193,57 +193,57 @@ def c2_tree_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SELECTED_SQL + " SELECT qid, chunk_id FROM rc", recursive=True)
 def c2_region_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["chunks"].select("qid", "chunk_id")
+    return _c2(spark, d).chunks.select("qid", "chunk_id")
 
 
 @query(SELECTED_SQL + " SELECT qid, entity FROM re", recursive=True)
 def c2_region_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["entities"].select("qid", "entity")
+    return _c2(spark, d).entities.select("qid", "entity")
 
 
 @query(SEEDS_SQL + " SELECT qid, entity FROM sd", recursive=True)
 def c2_seeds_intersection(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["seeds_direct"].select("qid", "entity")
+    return _c2(spark, d).seeds_direct.select("qid", "entity")
 
 
 @query(SEEDS_SQL + " SELECT qid, entity, freq FROM sf", recursive=True)
 def c2_seeds_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["seeds_frequent"].select("qid", "entity", "freq")
+    return _c2(spark, d).seeds_frequent.select("qid", "entity", "freq")
 
 
 @query(WALK_SQL + " SELECT qid, source, relation, target, weight, array_to_string(evidence, '|') AS evidence FROM tr", recursive=True)
 def c2_traverse(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(_c2(spark, d)["records"], "evidence").select("qid", "source", "relation", "target", "weight", "evidence")
+    return _joined(_c2(spark, d).records, "evidence").select("qid", "source", "relation", "target", "weight", "evidence")
 
 
 @query(WALK_SQL + " SELECT qid, entity FROM vi", recursive=True)
 def c2_visited(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["visited"].select("qid", "entity")
+    return _c2(spark, d).visited.select("qid", "entity")
 
 
 @query(CAND_SQL + " SELECT qid, node_id, sources, is_edge_evidence, overlap FROM ca", recursive=True)
 def c2_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(_c2(spark, d)["candidates"], "sources").withColumn("sources", F.replace("sources", F.lit("|"), F.lit(","))).select("qid", "node_id", "sources", "is_edge_evidence", "overlap")
+    return _joined(_c2(spark, d).candidates, "sources").withColumn("sources", F.replace("sources", F.lit("|"), F.lit(","))).select("qid", "node_id", "sources", "is_edge_evidence", "overlap")
 
 
 @query(C2_SQL + " SELECT qid, node_id, pre FROM po", recursive=True)
 def c2_prerank(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["pool"].select("qid", "node_id", "pre")
+    return _c2(spark, d).pool.select("qid", "node_id", "pre")
 
 
 @query(C2_SQL + " SELECT qid, node_id, score, place FROM rr", recursive=True)
 def c2_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["ranked"].select("qid", "node_id", "score", "place")
+    return _c2(spark, d).ranked.select("qid", "node_id", "score", "place")
 
 
 @query(C2_SQL + " SELECT qid, node_id, overlap FROM fb", recursive=True)
 def c2_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["fallback"].select("qid", "node_id", "overlap")
+    return _c2(spark, d).fallback.select("qid", "node_id", "overlap")
 
 
 @query(C2_SQL + " SELECT qid, mode, n_seeds, n_candidates, n_region, n_relations FROM ro", recursive=True)
 def c2_route(spark: SparkSession, d: str) -> DataFrame:
-    return _c2(spark, d)["route"].select("qid", "mode", "n_seeds", "n_candidates", "n_region", "n_relations")
+    return _c2(spark, d).route.select("qid", "mode", "n_seeds", "n_candidates", "n_region", "n_relations")
 
 
 @query(C2_SQL + " SELECT ro.qid, mode, coalesce(string_agg(node_id, ',' ORDER BY place), '') AS chunk_ids, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY place), '')) AS digest FROM ro LEFT JOIN rr USING (qid) GROUP BY ro.qid, mode", recursive=True)
