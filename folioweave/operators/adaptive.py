@@ -106,8 +106,10 @@ def retrieve(questions: DataFrame, entities: DataFrame, mentions: DataFrame, edg
     global_q = questions.join(named, "qid", "left_anti")
     occurrence_q = questions.join(named, "qid", "left_semi").join(ended.select("qid"), "qid", "left_anti")
     empty = F.array().cast("array<string>")
-    all_dense = dense(global_q, node_texts, config.max_chunks).select("qid", F.lit("Global").alias("mode"), "node_id", empty.alias("key"), "place", F.lit("").alias("history"))
-    pool = dense(occurrence_q, node_texts, config.dense_pool).join(questions.select("qid", "book_id"), "qid")
+    asked = global_q.withColumn("named", F.lit(False)).unionByName(occurrence_q.withColumn("named", F.lit(True)))
+    found = cut(dense(asked, node_texts, max(config.max_chunks, config.dense_pool)).join(asked.select("qid", "book_id", "named"), "qid"), "dense")  # one search for both
+    all_dense = found.where(~F.col("named") & (F.col("place") <= config.max_chunks)).select("qid", F.lit("Global").alias("mode"), "node_id", empty.alias("key"), "place", F.lit("").alias("history"))
+    pool = found.where(F.col("named") & (F.col("place") <= config.dense_pool))
     ranked = occurrence(entity_overlap(pool, entities, node_entities), config.max_chunks).select("qid", F.lit("Occurrence Rerank").alias("mode"), "node_id", "key", "place", F.lit("").alias("history"))
     label = F.when(F.col("loops") > 0, F.concat(F.lit("Local, Loop for "), F.col("loops").cast("string"), F.lit(" times"))).otherwise("Local")
     locals_ = local_result(candidates, ended).join(ended.select("qid", label.alias("mode"), "history"), "qid")

@@ -9,22 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.functions import vectors as V
 from folioweave.session import cut
 
 #: Query rows that one task holds at a time.
 QUERY_BLOCK = 4096
+#: Rows of a book that one task compares with a block of its queries.
+ROW_BLOCK = 8192
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, book: str | None = None, exclude_self: bool = False) -> DataFrame:
     """(qid, id, cos, place): for each query (qid, qv) the k rows (id, v) of highest cosine rounded to six places, ties to
     the smaller id. With `book`, both sides have that column and only rows of the same book count.
 
-    The queries are the stated side: within a book they are joined to its rows; without one, they are written in blocks
-    that each task of the other side reads against its own rows, keeping k a block, so no pair is shuffled. Vectors of
-    length zero are at cosine 0."""
+    The queries are the stated side. Within a book, its queries and its rows are cut into blocks and each two blocks are
+    compared in one task, which keeps k a query. Without a book, blocks of queries go to the tasks of the rows, which keep
+    k a query of a batch. No pair beyond those is shuffled. Vectors of length zero are at cosine 0."""
     if book is not None:
-        pairs = queries.join(rows, book).withColumn("cos", F.round(V.cosine(F.col("qv"), F.col("v")), 6))
+        pairs = _bookwise(queries, rows, book, k + int(exclude_self))
     else:
         pairs = _blockwise(queries, rows, k + int(exclude_self))
     if exclude_self:
@@ -51,17 +52,41 @@ def _blockwise(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
             for rows_ in batches:
                 for start in range(0, len(rows_), 8192):
                     some = rows_.iloc[start : start + 8192]
-                    cos = np.round(matrix @ _units(some["v"]).T, 6)
-                    most = min(k, cos.shape[1])
-                    edge = np.partition(cos, cos.shape[1] - most, axis=1)[:, cos.shape[1] - most]
-                    q, x = np.nonzero(cos >= edge[:, None])
-                    yield pd.DataFrame({"qid": ids[q], "id": some["id"].to_numpy()[x], "cos": cos[q, x] + 0.0})
+                    yield _best(ids, matrix, some["id"].to_numpy(), _units(some["v"]), k)
 
         found = rows.select("id", "v").where("v IS NOT NULL").mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, cos double")
         result = found if result is None else result.unionByName(found)
     return result if result is not None else queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, cos double")
 
 
+def _bookwise(queries: DataFrame, rows: DataFrame, book: str, k: int) -> DataFrame:
+    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
+    asked = queries.select(F.col(book).alias("book"), "qid", "qv").where("qv IS NOT NULL AND book IS NOT NULL")
+    given = rows.select(F.col(book).alias("book"), "id", "v").where("v IS NOT NULL AND book IS NOT NULL")
+    q_blocks = asked.groupBy("book").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("nq"))
+    r_blocks = given.groupBy("book").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("nr"))
+    blocks = q_blocks.join(r_blocks, "book")
+    left = asked.join(blocks, "book").select("book", "qid", "qv", F.pmod(F.xxhash64("qid"), F.col("nq")).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nr") - 1)).alias("rb"))
+    right = given.join(blocks, "book").select("book", "id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), F.col("nr")).alias("rb"))
+
+    def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(others):
+            return pd.DataFrame({"qid": [], "id": [], "cos": []})
+        return _best(some["qid"].to_numpy(), _units(some["qv"]), others["id"].to_numpy(), _units(others["v"]), k)
+
+    keys = ("book", "qb", "rb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"qid {kinds[0]}, id {kinds[1]}, cos double")
+
+
+def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of each query and all rows that tie with the last of them."""
+    cos = np.round(q @ v.T, 6) + 0.0
+    most = min(k, cos.shape[1])
+    edge = np.partition(cos, cos.shape[1] - most, axis=1)[:, cos.shape[1] - most]
+    i, j = np.nonzero(cos >= edge[:, None])
+    return pd.DataFrame({"qid": qids[i], "id": ids[j], "cos": cos[i, j]})
+
+
 def _units(column) -> np.ndarray:
     rows = np.stack(column.to_numpy()).astype(np.float64)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)

@@ -115,7 +115,7 @@ def reduce_dim(vectors: DataFrame, dim: int = 10, sample: int = 20_000) -> DataF
     stand-in for the reference's manifold reduction."""
     total = vectors.count()
     every = max(1, -(-total // sample))
-    fit = vectors.where(F.pmod(F.xxhash64("book_id", "node_id"), F.lit(every)) == 0).select("embedding").limit(2 * sample).toPandas()
+    fit = vectors.where(F.pmod(F.xxhash64("book_id", "node_id"), F.lit(every)) == 0).select("book_id", "node_id", "embedding").limit(2 * sample).toPandas().sort_values(["book_id", "node_id"])
     rows = np.stack(fit["embedding"].to_numpy()).astype(np.float64) if len(fit) else np.zeros((0, 1))
     rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     mean = rows.mean(axis=0) if len(rows) else np.zeros(rows.shape[1])
@@ -144,6 +144,7 @@ def two_stage_clusters(reduced: DataFrame, global_size: int = 400, threshold: fl
     grouped = reduced.join(marks, "book_id").select("book_id", "node_id", "z", F.floor(place * parts / 64).cast("int").alias("g"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node_id", kind="stable", ignore_index=True)  # the fit must not depend on the rows' order
         x = np.stack(rows["z"].to_numpy())
         if len(rows) <= x.shape[1] + 1:
             p = np.ones((len(rows), 1))

@@ -22,8 +22,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines that `read_lines` skips because they are no JSON, for a warning."""
-    rows = spark.read.schema(schemas.BENCHMARK_LINE).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.select(F.col("_corrupt").alias("line"), "context").where("line IS NOT NULL").select("line")
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.where((F.trim("line") != "") & F.expr("try_parse_json(line) IS NULL"))
 
 
 def variant_text(answer: Column) -> Column:
@@ -61,7 +61,7 @@ def infinite_choice(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def novel_books(spark: SparkSession, root: str) -> DataFrame:
     """Books/<category>/B<id>.txt, one row a file."""
-    files = spark.read.option("wholetext", True).text(f"{root}/Books/*/B*.txt")
+    files = spark.read.text(f"{root}/Books/*/B*.txt", wholetext=True)
     return files.select(F.regexp_extract(F.input_file_name(), r"/B([^/]*)\.txt$", 1).alias("book_id"), F.col("value").alias("book_text"))
 
 
@@ -69,7 +69,7 @@ def novel_questions(spark: SparkSession, root: str) -> DataFrame:
     """Data/<category>/B<id>.json: an object of questions by id."""
     from pyspark.sql import types as T
 
-    files = spark.read.option("wholetext", True).text(f"{root}/Data/*/B*.json")
+    files = spark.read.text(f"{root}/Data/*/B*.json", wholetext=True)
     parsed = files.select(F.regexp_extract(F.input_file_name(), r"/B([^/]*)\.json$", 1).alias("book_id"), F.from_json("value", T.MapType(T.StringType(), schemas.NOVEL_QUESTION)).alias("q"))
     rows = parsed.select("book_id", F.explode("q").alias("key", "item"))
     qid = F.row_number().over(Window.partitionBy("book_id").orderBy("key")) - 1
