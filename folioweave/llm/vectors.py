@@ -61,7 +61,7 @@ def sample_units(vectors: DataFrame, size: int, total: int) -> np.ndarray:
     """Unit vectors of a bounded sample of packed rows, chosen by a hash of their key."""
     every = max(1, -(-total // FIT_ROWS))
     rows = vectors.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("v").limit(2 * FIT_ROWS).toPandas()
-    return unit(unpack(rows["v"], size).astype(np.float64))
+    return unit(unpack(rows["v"].sort_values(), size).astype(np.float64))  # in a fixed order, whatever order the rows come in
 
 
 def centroids(sample: np.ndarray, count: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
