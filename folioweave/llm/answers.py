@@ -226,13 +226,13 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     q_rates = word_rates(asked.join(sure.select("pred_id", F.col("best.lang").alias("lang")), "pred_id"))
     by_question = likelihoods(asked, q_rates, langs).select("pred_id", *[f"l_{x}" for x in langs])
     ordered_langs = F.sort_array(F.array(*[F.struct(F.col(f"l_{x}").alias("l"), F.lit(x).alias("lang")) for x in langs]), False)
-    q_lang = by_question.select("pred_id", ordered_langs[0]["lang"].alias("latin_lang"))
+    q_lang = by_question.select("pred_id", (ordered_langs[0]["lang"] if langs else F.lit(None).cast("string")).alias("latin_lang"))
     with_lang = parsed.select("pred_id", "q_script", "script", "words").join(q_lang, "pred_id", "left")
     with_lang = with_lang.withColumn("lang", F.when(F.col("q_script").isin("zh", "ru"), F.col("q_script")).otherwise(F.col("latin_lang"))).where("lang IS NOT NULL AND script <> ''")
     latin = cut(with_lang.where("script = 'latin' AND q_script = 'latin'").select("pred_id", "lang", F.explode(F.array_distinct("words")).alias("word")), "told")
     told = likelihoods(latin, word_rates(latin), langs).join(latin.select("pred_id", "lang").distinct(), "pred_id")
     own = F.coalesce(*[F.when(F.col("lang") == x, F.col(f"l_{x}")) for x in langs], F.lit(0.0))
-    best = F.greatest(*[F.col(f"l_{x}") for x in langs], F.lit(-1e9))
+    best = F.array_max(F.array(*[F.col(f"l_{x}") for x in langs], F.lit(-1e9)))
     foreign = told.where((F.col("n") >= 2) & (best - own > 2.0)).select("pred_id").unionByName(with_lang.where("(script = 'latin' AND q_script <> 'latin' AND size(words) >= 2) OR (script <> 'latin' AND script <> q_script)").select("pred_id"))
     foreign = foreign.distinct().withColumn("foreign", F.lit(True))
 
