@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import spread
+from folioweave.llm.common import once_by
 from folioweave.llm.ordering import next_in_order
 from folioweave.session import cut
 
@@ -199,8 +199,7 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     count once, rows with a null pred_id are left out. A null or blank response is `empty`; a null question only rules out
     copies and other languages. common_words (lang, word) gives the questions' language. No rows give none.
     """
-    once = predictions.where("pred_id IS NOT NULL").select("pred_id", "question", "options", "raw_llm_output").dropDuplicates(["pred_id"])
-    parsed = cut(parse_answers(spread(once, "pred_id")), "answers")
+    parsed = cut(parse_answers(once_by(predictions, "pred_id", "question", "options", "raw_llm_output")), "answers")
 
     # neighbours in the order of their texts: a phrase that only begins the next one is a shortened version of it
     cores = parsed.where("core <> ''").select("core", "kind").distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import spread
+from folioweave.llm.common import once_by
 
 #: The pattern that cuts a text into words before merging, fixed with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,8 +167,7 @@ def _mapped(df: DataFrame, id_column: str, text_column: str, path: str, count_on
                 result = pa.array([len(x) for x in part], pa.int64()) if count_only else pa.array(part, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 1000), result], [id_column, "n_tokens" if count_only else "ids"])
 
-    chosen = spread(df.select(id_column, text_column), id_column)
-    return chosen.mapInArrow(run, f"`{id_column}` {kind}, " + ("n_tokens bigint" if count_only else "ids array<int>"))
+    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, " + ("n_tokens bigint" if count_only else "ids array<int>"))
 
 
 def token_ids(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -182,9 +181,24 @@ def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return _mapped(df, id_column, text_column, vocabulary or default_vocabulary(), True)
 
 
+def add_token_counts(df: DataFrame, text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """df with `n_tokens` of a text column, 0 for an empty or null text; a column of that name is replaced."""
+    path = vocabulary or default_vocabulary()
+    df = df.drop("n_tokens")
+    place = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            counts = pa.array([len(own.encode(t)) for t in batch.column(place).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "n_tokens"])
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", n_tokens bigint")
+
+
 def once(documents: DataFrame) -> DataFrame:
     """Documents without repeated deliveries of the same id."""
-    return documents.dropDuplicates(["doc_id"])
+    return once_by(documents, "doc_id", "text")
 
 
 def frequencies(ids: DataFrame) -> DataFrame:

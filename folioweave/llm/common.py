@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartitions a frame read from fewer files than there are cores, so that work in Python uses all of them.
-    Frames of enough partitions stay as they are. A hash keeps retried tasks deterministic."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions a frame before work in Python, into as many partitions as the session shuffles to and at least as
+    many as there are cores: small inputs come in one file, and adaptive execution would join small partitions again. A
+    hash, unlike a round robin, keeps retried tasks deterministic."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
-def usable_vector(vector, size: int):
-    """True where an array column has exactly `size` finite elements, not all zero (else false, also for null)."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) == size) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+def once_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The key and columns of rows with a key, one row a key, spread for work in Python by the one shuffle this takes."""
+    return fan_out(df.where(df[key].isNotNull()).select(key, *columns), key).dropDuplicates([key])

@@ -8,14 +8,14 @@ hold up to one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import spread
+from folioweave.llm.common import once_by
 from folioweave.session import cut
 
 #: The classifier is fitted on at most so many documents of each source, chosen by a hash of their id.
@@ -59,7 +59,7 @@ def fit_domains(documents: DataFrame, sources: list[str], seed_rounds: int = 60)
 
 
 def memberships(documents: DataFrame, weights: np.ndarray, sources: list[str]) -> DataFrame:
-    """(doc_id, m): for each document its membership in each source, adding up to 1."""
+    """(doc_id, source, tokens, m): for each document its membership in each source, adding up to 1."""
     place = {s: i for i, s in enumerate(sources)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,9 +71,9 @@ def memberships(documents: DataFrame, weights: np.ndarray, sources: list[str]) -
                 p /= p.sum(axis=1, keepdims=True)
                 own = np.zeros_like(p)
                 own[np.arange(len(part)), [place[s] for s in part["source"]]] = 1
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "m": list((LABEL_WEIGHT * own + (1 - LABEL_WEIGHT) * p).astype(np.float64))})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "tokens": part["tokens"].to_numpy(), "m": list((LABEL_WEIGHT * own + (1 - LABEL_WEIGHT) * p).astype(np.float64))})
 
-    return documents.select("doc_id", "text", "source").mapInPandas(run, "doc_id bigint, m array<double>")
+    return documents.select("doc_id", "text", "source", "tokens").mapInPandas(run, "doc_id bigint, source string, tokens bigint, m array<double>")
 
 
 def mixture_size(per_source: dict[str, tuple[float, int]], shares: dict[str, float]) -> float:
@@ -106,19 +106,19 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, rounds: int = 25) -> DataFra
     return with_rate(steps)
 
 
-def mix(documents: DataFrame, counts: DataFrame, targets: DataFrame, rounds: int = 25) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, add_counts: Callable[[DataFrame], DataFrame], targets: DataFrame, rounds: int = 25) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). mixture: doc_id, source, n_tokens, copies for each document used; report: source, target_share,
     available tokens, mixture tokens, actual_share and the most copies of one document, for every source with a target.
 
-    documents: doc_id, source, text; counts: doc_id, n_tokens; targets: source, target_share, max_repeats. Repeated doc_ids
-    count once; documents without tokens or of sources without a target are not used. The total is the largest at which
+    documents: doc_id, source, text; add_counts: adds `n_tokens` to them; targets: source, target_share, max_repeats.
+    Repeated doc_ids count once; documents without tokens or of sources without a target are not used. The total is the largest at which
     each source that has documents reaches its share within its repeats; the shares of sources without any document fall
     to the others in proportion, and their actual share is 0. Null shares and repeats count as 0 and 1.
     """
     wanted = {r.source: (float(r.target_share or 0.0), int(r.max_repeats or 1)) for r in targets.where("source IS NOT NULL").dropDuplicates(["source"]).collect()}  # a fixed list
     sources = sorted(s for s, (share, _) in wanted.items() if share > 0)
-    once = documents.where(F.col("doc_id").isNotNull() & F.col("source").isin(sources)).select("doc_id", "source", "text").dropDuplicates(["doc_id"])
-    sized = cut(spread(once, "doc_id").join(counts.groupBy("doc_id").agg(F.max("n_tokens").alias("tokens")), "doc_id").where("tokens > 0"), "sized")
+    once = once_by(documents.where(F.col("source").isin(sources)), "doc_id", "source", "text")
+    sized = cut(add_counts(once).withColumnRenamed("n_tokens", "tokens").where("tokens > 0"), "sized")
     available = {r.source: float(r.t) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row a source
     whole = sum(wanted[s][0] for s in available) or 1.0
     shares = {s: wanted[s][0] / whole for s in available}
@@ -127,7 +127,7 @@ def mix(documents: DataFrame, counts: DataFrame, targets: DataFrame, rounds: int
     live = sorted(available)
     if live:
         weights = fit_domains(sized, live)
-        soft = sized.select("doc_id", "source", "tokens").join(memberships(sized, weights, live), "doc_id").join(F.broadcast(limits.select("source", "goal", "cap", "available")), "source")
+        soft = memberships(sized, weights, live).join(F.broadcast(limits.select("source", "goal", "cap", "available")), "source")  # one row a source
         soft = cut(soft.withColumn("start", F.col("goal") / F.col("available")), "soft")
         fitted = fit_rates(soft, np.array([shares[s] * total for s in live]), rounds)
     else:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import spread
+from folioweave.llm.common import fan_out
 from folioweave.llm.components import minimum_labels
 from folioweave.session import cut
 
@@ -451,7 +451,7 @@ def _parsed(names: DataFrame) -> DataFrame:
                 out.append((book, name, form, first, rest, extra, "\x01".join((form, first, rest, extra)), sorted(keys)))
             yield pd.DataFrame(out, columns=["book_id", "name", "form", "first", "rest", "extra", "id", "keys"])
 
-    return spread(names, "book_id", "name").mapInPandas(run, _PARSED)
+    return fan_out(names, "book_id", "name").mapInPandas(run, _PARSED)
 
 
 def _same_words(a: str, b: str) -> bool:

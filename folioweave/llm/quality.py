@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import spread
+from folioweave.llm.common import once_by
 from folioweave.llm.ordering import upper_ranks
 from folioweave.session import cut
 
@@ -167,8 +167,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
             out = [(i, *statistics(t, frozen)) for i, t in rows.itertuples(index=False) if t and not t.isspace()]
             yield pd.DataFrame(out, columns=["doc_id", "language", *FIELDS])
 
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text").dropDuplicates(["doc_id"])
-    return spread(texts, "doc_id").mapInPandas(run, STATS)
+    return once_by(documents.where("text IS NOT NULL AND text <> ''"), "doc_id", "text").mapInPandas(run, STATS)
 
 
 def outlier_scores(stats: DataFrame, buckets: int = 16) -> DataFrame:

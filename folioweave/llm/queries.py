@@ -98,7 +98,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document by byte_bpe_50k."""
     from folioweave.llm.bpe import once, token_ids
 
-    return token_ids(once(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return token_ids(once(table(spark, sf_dir, "documents")))
 
 
 # 1. Variant spellings of names
@@ -221,12 +221,10 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from folioweave.llm.bpe import once, token_counts
+    from folioweave.llm.bpe import add_token_counts
     from folioweave.llm.mixing import mix
 
-    documents = table(spark, sf_dir, "documents")
-    counts = token_counts(once(documents.select("doc_id", "text")))
-    return mix(documents, counts, table(spark, sf_dir, "mix_targets"))
+    return mix(table(spark, sf_dir, "documents"), add_token_counts, table(spark, sf_dir, "mix_targets"))
 
 
 @query()

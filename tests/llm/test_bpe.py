@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folioweave.llm.bpe import Encoder, default_vocabulary, encoder, frequencies, token_counts, token_ids
+from folioweave.llm.bpe import Encoder, add_token_counts, default_vocabulary, encoder, frequencies, once, token_counts, token_ids
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -62,4 +62,6 @@ def test_defined_ids_for_null_and_empty(spark):
     assert [x[1] for x in found[:2]] == [[], []] and found[2] == found[3]
     assert sorted((r.doc_id, r.n_tokens) for r in token_counts(rows).collect()) == [(1, 0), (2, 0), (3, 2), (3, 2)]
     assert token_ids(rows.where("false")).count() == 0
+    assert sorted((r.doc_id, r.ids, r.n_tokens) for r in add_token_counts(rows).collect()) == [(1, "x", 0), (2, "x", 0), (3, "x", 2), (3, "x", 2)]
+    assert sorted(r.doc_id for r in once(rows).collect()) == [1, 2, 3]
     assert frequencies(token_ids(rows)).count() == 2

@@ -9,6 +9,9 @@ PROSE = "The baker sold the old clock, and he went home by the back lane. Nobody
 WRAPPED = "The baker sold the old clock, and he\nwent home by the back lane. Nobody had\nasked for it, as the road was still\nflooded. The captain found a ring on the\nbridge, and the matter was never raised\nagain."
 
 
+COUNTS = lambda df: df.withColumn("n_tokens", F.when(F.col("text") != "", F.length("text")).otherwise(0))  # noqa: E731  any measure of size will do
+
+
 def test_shares():
     assert list_share(["- one", "- two words", "* three"]) == 1.0 and list_share(["Contents", "1) a", "2) b", "3) c"]) == 1.0
     assert list_share(WRAPPED.split("\n")) < 0.85 and list_share(PROSE.strip().split("\n\n")) < 0.85
@@ -48,7 +51,7 @@ def sources(spark):
 
 def test_mix(spark, sources):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 1), ("small", 0.1, 3), ("missing", 0.1, 4)], "source string, target_share double, max_repeats int")
-    mixture, report = mix(sources, sources.select("doc_id", F.col("tokens").alias("n_tokens")), targets)
+    mixture, report = mix(sources, COUNTS, targets)
     rows = mixture.collect()
     assert len({r.doc_id for r in rows}) == len(rows) and {r.source for r in rows} == {"big", "mid", "small"}
     assert all(1 <= r.copies <= {"big": 1, "mid": 1, "small": 3}[r.source] for r in rows)
@@ -58,12 +61,12 @@ def test_mix(spark, sources):
         used = sum(r.n_tokens * r.copies for r in rows if r.source == source)
         assert shares[source][1] == used and abs(used / whole - share / 0.9) < 0.02 and abs(shares[source][0] - used / whole) < 1e-6
     assert shares["missing"] == (0.0, 0, 0)
-    assert sorted(map(tuple, mixture.collect())) == sorted(map(tuple, mix(sources, sources.select("doc_id", F.col("tokens").alias("n_tokens")), targets)[0].collect()))
+    assert sorted(map(tuple, mixture.collect())) == sorted(map(tuple, mix(sources, COUNTS, targets)[0].collect()))
 
 
 def test_mix_of_nothing(spark, sources):
     targets = spark.createDataFrame([("big", 1.0, 2)], "source string, target_share double, max_repeats int")
-    counts = sources.select("doc_id", F.col("tokens").alias("n_tokens"))
+    counts = COUNTS
     mixture, report = mix(sources.where("false"), counts, targets)
     assert mixture.count() == 0 and [tuple(r)[-2:] for r in report.collect()] == [(0.0, 0)]
     assert mix(sources, counts, targets.where("false"))[0].count() == 0

@@ -101,6 +101,22 @@ def test_groups_in_tiles(spark, monkeypatch):
     assert sorted(r.n for r in similar_groups(frame(spark, ids, rows), "id", "v", 24).select("label", "n").distinct().collect()) == [7, 60]
 
 
+def test_large_sets_are_cut_at_weak_links(spark, monkeypatch):
+    import folioweave.llm.clusters as module
+
+    monkeypatch.setattr(module, "LARGE", 10)
+    monkeypatch.setattr(module, "TILE", 8)
+    a, b = np.zeros(24), np.zeros(24)
+    a[0] = b[1] = 1
+    rng = np.random.default_rng(3)
+    near = lambda c, n: c + 0.02 * rng.standard_normal((n, 24))
+    bridge = (a + b) / np.sqrt(2)  # at 0.71 to both groups, which are at 0 to each other
+    rows = np.concatenate([near(a, 9), near(b, 7), bridge[None]]).astype(np.float32)
+    found = similar_groups(frame(spark, np.arange(17), rows), "id", "v", 24)
+    sizes = sorted(r.n for r in found.select("label", "n").distinct().collect())
+    assert sizes in ([7, 9], [7, 10], [8, 9])
+
+
 def test_cliques_of_a_chain():
     near = np.zeros((9, 9), bool)
     for group in ((0, 1, 2, 3), (4, 5, 6, 7)):
