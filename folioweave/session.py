@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,37 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="folioweave-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may be gone at exit
-            pass
-    _written.clear()
-
-
-atexit.register(_drop_written)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a file or folder through Hadoop's file system interface."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    own = tempfile.mkdtemp(prefix="folioweave-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    return f"file://{own}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. It is deleted when this process ends."""
-    path = f"{shared_folder(spark)}/folioweave-{os.getpid()}-{uuid.uuid4().hex[:12]}/{name}"
-    _written.append((spark, path.rsplit("/", 1)[0]))
-    return path
+    """A new path in the shared folder. Hadoop deletes it when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/folioweave-{os.getpid()}-{uuid.uuid4().hex[:12]}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    named = files.makeQualified(folder).toString()  # with the scheme that readers outside the JVM need
+    return f"{named.replace('file:/', 'file:///', 1) if named.startswith('file:/') and not named.startswith('file://') else named}/{name}"
 
 
 def cut(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
@@ -84,9 +68,3 @@ def cut(df: DataFrame, name: str = "stage", partition_by: list[str] | None = Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes a table made by `cut` that no later step reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
