@@ -29,12 +29,12 @@ REFUSALS = (
     r"\bas an ai\b",
     r"\b(?:can ?not|can't|could not) be (?:determined|answered|inferred|established|known|decided)\b",
     r"\bnot (?:be )?possible to (?:say|tell|answer|determine|know|decide)\b",
-    r"\b(?:do|does|did)(?: not|n't) (?:contain|provide|give|mention|include|offer|say|have|state|specify)\b.*\b(?:information|answer|question|context|detail|this|enough|evidence)",
+    r"\b(?:do|does|did)(?: not|n't) (?:contain|provide|give|mention|include|offer|say|have|state|specify)\b.{0,200}\b(?:information|answer|question|context|detail|this|enough|evidence)",
     r"\bnot enough (?:context|information|evidence|detail)\b",
     r"\binsufficient (?:context|information|evidence|detail)\b|\b(?:text|context|evidence|information|excerpt) (?:is|are) insufficient\b",
     r"\bno (?:way to tell|answer can be|information|relevant)\b",
     r"\bnone of the (?:passages|excerpts|documents|chunks|evidence)\b",
-    r"\bunfortunately\b.*\b(?:not|unable|can't|cannot)\b",
+    r"\bunfortunately\b.{0,200}\b(?:not|unable|can't|cannot)\b",
     r"\bje (?:ne (?:peux|sais|suis|dispose|connais)|suis désolé|regrette|m'excuse|refuse)|\bdésolé|ne permet(?:tent)? pas de|impossible de (?:répondre|déterminer|dire|savoir)|ne contien(?:t|nent) pas|pas assez d['e ]|en tant qu(?:e |')(?:modèle|ia|assistant)|\bil n'est pas possible de",
     r"\bich (?:weiß (?:es )?nicht|kann|darf|bin|habe keinen|muss ablehnen|möchte nicht)|\btut mir (?:sehr )?leid|\bleider\b|nicht genügend|nicht genug|lässt sich (?:\w+ ){0,6}nicht|keine ausreichend|reich(?:t|en) (?:\w+ ){0,4}nicht aus|enth(?:ält|alten) (?:\w+ ){0,3}(?:keine|nicht)|(?:kann|können) (?:\w+ ){0,5}nicht (?:beantwort|bestimm|ermittel)|als (?:ki|sprachmodell)",
     r"\bno (?:puedo|sé|lo sé|dispongo|tengo|me es posible|es posible|hay (?:información|suficiente|contexto))\b|\blo siento\b|\blamento\b|no contien(?:e|en)|no (?:se|permite[n]?) (?:puede |es posible )?(?:determinar|responder|saber)|como (?:modelo|ia|asistente)\b|insuficiente",

@@ -336,6 +336,9 @@ def tidy(name: str) -> str:
     return re.sub(r"(?<=[a-z])[0-9$|]+|[0-9$|]+(?=[a-z])", lambda m: m[0].translate(_OCR), text)
 
 
+#: Longer texts are no names; they are compared as they are, after tidying.
+LONGEST = 200
+
 #: Forms: a full person, an initial and surname, one bare word, an organisation or place, an acronym, nothing.
 PERSON, INITIAL, WORD, GROUP, ACRONYM, NONE = "P", "I", "W", "G", "A", "N"
 
@@ -345,7 +348,7 @@ def parse(name: str) -> tuple[str, str, str, str]:
     word. Group: its kind words, its core words, its side. Acronym: its letters."""
     text = tidy(name)
     letters = re.sub(r"[^a-z]", "", text)
-    if not letters:
+    if not letters or len(text) > LONGEST:
         return NONE, "", text or name, ""
     if re.fullmatch(r"(?:[a-z]\.){2,7}[a-z]?\.?", text):
         return ACRONYM, "", letters, ""
@@ -513,8 +516,8 @@ def _compared(pairs: DataFrame) -> DataFrame:
 
 def link_names(names: DataFrame) -> DataFrame:
     """(book_id, name, entity) of each distinct (book_id, name): names of one entity have the same `entity`, the smallest
-    parsed form in it. Rows with a null book or name are left out; blank names and names without letters stay on their
-    own, by their exact text; repeated rows count once; no rows give none. Extra columns are ignored.
+    parsed form in it. Rows with a null book or name are left out; blank names, names without Latin letters and texts of more
+    than LONGEST characters are only alike after tidying (case, white space, outer punctuation); repeated rows count once; no rows give none. Extra columns are ignored.
 
     Names that parse alike are one row from the blocking on. A block is the pairs of one book with a common phonetic key;
     the pairs come from a join and are compared in batches, so no block is held in one place.

@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,21 @@ def list_share(lines: list[str]) -> float:
     return entries / len(lines)
 
 
+def _coded(token: str) -> bool:
+    """Whether a token is a code: letters and digits mixed, a time, a path, an assignment. Very long ones count if they mix."""
+    if len(token) <= 200:
+        return bool(_FORM.search(token))
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
+def _repeats(ids: np.ndarray, size: int) -> float:
+    """The share of runs of `size` units that occurred before, by a rolling hash of the units' numbers."""
+    runs = np.zeros(len(ids) - size + 1, np.uint64)
+    for i in range(size):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - size + 1 + i] + np.uint64(1)
+    return 1 - len(np.unique(runs)) / len(runs)
+
+
 def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     """(language, the numbers of FIELDS) of a text that is not blank."""
     text = "".join(c for c in unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n")).replace("\xa0", " ") if unicodedata.category(c) != "Cf")
@@ -123,11 +139,11 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
         top = max(top, len(top_sentence[0]) * top_sentence[1] / max(1, len(joined)))
     if top_word and len(lower) >= 12:
         top = max(top, len(top_word[0][0]) * top_word[0][1] / max(1, letters))
-    grams = [tuple(tokens[i : i + 3]) for i in range(len(tokens) - 2)]
-    repeat = 1 - len(set(grams)) / len(grams) if len(grams) > 8 else 0.0
+    numbers: dict[str, int] = {}
+    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.uint64, len(tokens))
+    repeat = _repeats(ids, 3) if len(tokens) > 10 else 0.0
     if han and len(tokens) < 0.2 * n:
-        runs = [text[i : i + 8] for i in range(0, len(text) - 8)]
-        repeat = 1 - len(set(runs)) / len(runs) if len(runs) > 30 else 0.0
+        repeat = _repeats(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), 8) if len(text) > 38 else 0.0
     odd = 0
     parts = [t for t in re.split(r"[\s,;|]+", text) if t and not re.fullmatch(r"[-+*•→–—·=▪◦‣:]+", t)]
     for t in parts:
@@ -149,7 +165,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     values = dict(
         n_words=n, mean_word=letters / max(1, len(words)), symbol_ratio=symbols / seen, digit_ratio=digits / seen, end_share=ends, common_share=hits / max(1, n), short_line_share=short,
         odd_word_share=odd / whole, repeat_share=repeat, compression=packed, unpunctuated=float(longest), list_share=list_share(lines), table_share=table_share(lines),
-        markup_share=sum(len(m) for m in _TAG.findall(text)) / max(1, len(text)), form_share=sum(len(t) for t in tokens if _FORM.search(t)) / seen, single_share=single, top_share=top, n_lines=float(len(lines)), letters=letters / seen,
+        markup_share=sum(len(m) for m in _TAG.findall(text)) / max(1, len(text)), form_share=sum(len(t) for t in tokens if _coded(t)) / seen, single_share=single, top_share=top, n_lines=float(len(lines)), letters=letters / seen,
     )
     return (language, *(float(values[f]) for f in FIELDS))
 

@@ -17,8 +17,8 @@ SECTION, PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, HARD = 6, 5, 4, 3, 2, 1, 0
 HEADING = 80
 
 _BREAK = re.compile(
-    r"(?P<par>[^\S\n]*\n(?:[^\S\n]*\n)+\s*)"
-    r"|(?P<line>[^\S\n]*\n[^\S\n]*)"
+    r"(?P<par>\n(?:[^\S\n]*\n)+\s*)"
+    r"|(?P<line>\n[^\S\n]*)"
     r"|(?P<sent>[.!?…][\"'”’»)\]]*\s+|[。！？][”’」』»)\]]*\s*)"
 )
 _CLAUSE = re.compile(r"[,;:–—][\"'”’»)\]]*\s+|[，；：、]")

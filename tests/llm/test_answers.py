@@ -72,6 +72,17 @@ def test_defects(spark):
     assert answer_defects(frame.where("pred_id < 5"), words.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["a", " ", "do not contain ", "“", "(", ".", "Answer: ", "的", "unfortunately "])
+def test_very_long_answers(unit):
+    import time
+
+    text, began = unit * 200_000, time.time()
+    empty_answer(text), copied(text, "Who met Ann?", ["a", "b"]), refusal(text)
+    if not empty_answer(text):
+        ending(text, ["a", "b"])
+    assert time.time() - began < 20
+
+
 def test_neighbours_and_ranks(spark):
     texts = [f"{'abc'[i % 3]}{i:03d}" for i in range(90)]
     found = {r.t: r.following for r in next_in_order(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 7).collect()}

@@ -54,5 +54,11 @@ def test_links(spark):
     assert ("b2", "anna holloway", "holloway, anna") in {tuple(r) for r in pairs} and all(r.name_a < r.name_b for r in pairs)
 
 
+def test_very_long_names(spark):
+    long = ["word " * 50_000, "word " * 50_000 + " ", "x" * 500_000, "x" * 499_999]
+    found = {r.name: r.entity for r in link_names(spark.createDataFrame([("b", n) for n in long], "book_id string, name string")).collect()}
+    assert found[long[0]] == found[long[1]] and len(set(found.values())) == 3
+
+
 def test_no_names(spark):
     assert link_names(spark.createDataFrame([], "book_id string, name string")).count() == 0

@@ -24,6 +24,15 @@ def test_statistics_of_odd_texts():
         assert len(statistics(text, EN)) == 1 + len(FIELDS)
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, " a" * 400_000, "的" * 400_000, "." * 400_000, "\n" * 400_000 + "x", "=" * 400_000, "a1" * 300_000, "“" * 300_000, "a " + " " * 1_000_000 + "b"])
+def test_statistics_of_very_long_texts(text):
+    import time
+
+    began = time.time()
+    statistics(text, EN)
+    assert time.time() - began < 20
+
+
 def test_kinds(spark):
     cases = {
         "prose": [PROSE * 2, WRAPPED, PROSE.upper(), PROSE.lower(), PROSE + "- a key\n- a ring\n\n" + PROSE],

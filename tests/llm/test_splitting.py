@@ -37,6 +37,11 @@ def test_cuts_at_natural_boundaries():
     assert checked("Alpha ends here.\n\nCHAPTER TWO\n\nBeta begins here and runs.", 48, 0)[1].startswith("CHAPTER TWO")
 
 
+@pytest.mark.parametrize("unit", ["a", " ", "\n", ".", "的", "a ", "“", "\u0301", "x.\n\n"])
+def test_very_long_texts(unit):
+    checked(unit * 300_000, 1600, 120)
+
+
 def test_rejects_bad_limits():
     for limit, overlap in ((5, 5), (5, -1), (0, 0)):
         with pytest.raises(ValueError):
