@@ -42,10 +42,23 @@ def entity_overlap(candidates: DataFrame, entities: DataFrame, node_entities: Da
     return joined.withColumn("entity_list", F.coalesce("entity_list", F.array().cast("array<string>"))).withColumn("overlap", F.size("entity_list"))
 
 
+def distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(X.words(F.lower(text)))
+
+
+def token_sets(node_texts: DataFrame) -> DataFrame:
+    """(book_id, node_id, tokens) of nodes with text: what the stand-in reranker reads, made once a node, not once a pair."""
+    return node_texts.where("text IS NOT NULL AND text <> ''").select("book_id", "node_id", distinct_tokens(F.col("text")).alias("tokens"))
+
+
+def share_of(asked: Column, tokens: Column) -> Column:
+    """The share of distinct tokens that are among others, to nine places; 0 if there are none."""
+    return F.when(F.size(asked) > 0, F.round(F.size(F.array_intersect(asked, tokens)) / F.size(asked), 9)).otherwise(0.0)
+
+
 def token_overlap(query: Column, text: Column) -> Column:
     """The stand-in reranker's score: the share of the query's distinct tokens that the text has."""
-    asked = F.array_distinct(X.words(F.lower(query)))
-    return F.when(F.size(asked) > 0, F.round(F.size(F.array_intersect(asked, X.words(F.lower(text)))) / F.size(asked), 9)).otherwise(0.0)
+    return share_of(distinct_tokens(query), distinct_tokens(text))
 
 
 def words_sql() -> str:

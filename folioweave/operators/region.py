@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.config import Region
-from folioweave.operators.questions import dense, entity_overlap, token_overlap
+from folioweave.operators.questions import dense, distinct_tokens, entity_overlap, share_of, token_sets
 from folioweave.session import cut
 
 
-def tree_prune(questions: DataFrame, node_texts: DataFrame, config: Region, rerank: bool = True) -> DataFrame:
+def tree_prune(questions: DataFrame, node_texts: DataFrame, tokens: DataFrame, config: Region, rerank: bool = True) -> DataFrame:
     """(qid, node_id, score, place): summary nodes among the nearest `top_m * search_factor` nodes, reranked, the first
     `top_m`. Leaves are dropped after the search, as the index holds them too, so fewer than `top_m` may be left."""
     found = dense(questions, node_texts, config.top_m * config.search_factor).where(~F.col("node_id").startswith("L0_"))
-    texts = found.join(questions.select("qid", "book_id", "question"), "qid").join(node_texts.select("book_id", "node_id", "text"), ["book_id", "node_id"])
-    scored = texts.withColumn("score", token_overlap(F.col("question"), F.col("text")) if rerank else F.col("cos"))
+    asked = questions.select("qid", "book_id", distinct_tokens(F.col("question")).alias("asked"))
+    joined = found.join(asked, "qid").join(tokens, ["book_id", "node_id"])
+    scored = joined.withColumn("score", share_of(F.col("asked"), F.col("tokens")) if rerank else F.col("cos"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "node_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.top_m).select("qid", "book_id", "node_id", "score", "place")
 
@@ -69,14 +70,15 @@ def visited(seeds: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def candidates(records: DataFrame, closed: DataFrame, mentions: DataFrame, chunks: DataFrame, texts: DataFrame, per_entity: int = 10) -> DataFrame:
-    """(qid, book_id, node_id, sources, is_edge_evidence, text): chunks of edge evidence, and of each visited entity its
+    """(qid, book_id, node_id, sources, is_edge_evidence): chunks of edge evidence, and of each visited entity its
     first `per_entity` chunks in the region; those without text are dropped. texts: book_id, chunk_id, ord, text."""
     from_edges = records.select("qid", "book_id", F.explode("evidence").alias("chunk_id")).distinct().withColumn("origin", F.lit("edge"))
     placed = closed.join(mentions, ["book_id", "entity"]).join(chunks, ["qid", "book_id", "chunk_id"], "left_semi").join(texts.select("book_id", "chunk_id", "ord"), ["book_id", "chunk_id"])
     order = Window.partitionBy("qid", "entity").orderBy("ord", "chunk_id")
     from_entities = placed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_entity).select("qid", "book_id", "chunk_id").distinct().withColumn("origin", F.lit("entity"))
     merged = from_edges.unionByName(from_entities).groupBy("qid", "book_id", "chunk_id").agg(F.array_sort(F.collect_set("origin")).alias("sources"), F.bool_or(F.col("origin") == "edge").alias("is_edge_evidence"))
-    return merged.join(texts.select("book_id", "chunk_id", "text"), ["book_id", "chunk_id"]).where("text IS NOT NULL AND text <> ''").withColumnRenamed("chunk_id", "node_id")
+    with_text = texts.where("text IS NOT NULL AND text <> ''").select("book_id", "chunk_id")
+    return merged.join(with_text, ["book_id", "chunk_id"], "left_semi").withColumnRenamed("chunk_id", "node_id")
 
 
 def prerank(rows: DataFrame, pool: int) -> DataFrame:
@@ -85,17 +87,18 @@ def prerank(rows: DataFrame, pool: int) -> DataFrame:
     return rows.withColumn("pre", F.row_number().over(order)).where(F.col("pre") <= pool)
 
 
-def rerank(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def rerank(rows: DataFrame, questions: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     """The k candidates of highest reranker score with their place; ties by the first ranking."""
-    scored = rows.join(questions.select("qid", "question"), "qid").withColumn("score", token_overlap(F.col("question"), F.col("text")))
+    asked = questions.select("qid", distinct_tokens(F.col("question")).alias("asked"))
+    scored = rows.join(tokens, ["book_id", "node_id"]).join(asked, "qid").withColumn("score", share_of(F.col("asked"), F.col("tokens"))).drop("asked", "tokens")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "pre")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def region_candidates(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     """Tree-only candidates: all chunks of the region with text."""
-    rows = chunks.join(texts, ["book_id", "chunk_id"]).where("text IS NOT NULL AND text <> ''")
-    return rows.select("qid", "book_id", F.col("chunk_id").alias("node_id"), F.array(F.lit("region")).alias("sources"), F.lit(False).alias("is_edge_evidence"), "text")
+    rows = chunks.join(texts.where("text IS NOT NULL AND text <> ''").select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_semi")
+    return rows.select("qid", "book_id", F.col("chunk_id").alias("node_id"), F.array(F.lit("region")).alias("sources"), F.lit(False).alias("is_edge_evidence"))
 
 
 class Stages:
@@ -106,9 +109,13 @@ class Stages:
         self.node_texts, self.texts, self.leaves, self.node_entities = node_texts, texts, leaves, node_entities
         self.config = config or Region()
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return cut(token_sets(self.node_texts), "tokens")
+
     @cached_property
     def selected(self) -> DataFrame:
-        return cut(tree_prune(self.questions, self.node_texts, self.config), "selected")
+        return cut(tree_prune(self.questions, self.node_texts, self.tokens, self.config), "selected")
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -164,16 +171,17 @@ class Stages:
     @cached_property
     def pool(self) -> DataFrame:
         walked = self.candidates.join(self.route.where("mode = 'graph_traversal'").select("qid"), "qid", "left_semi")
-        columns = ["qid", "book_id", "node_id", "sources", "is_edge_evidence", "overlap", "text"]
+        columns = ["qid", "book_id", "node_id", "sources", "is_edge_evidence", "overlap"]
         return prerank(walked.select(*columns).unionByName(self.fallback.select(*columns)), self.config.candidate_pool)
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return rerank(self.pool, self.questions, self.config.final_k)
+        return rerank(self.pool, self.questions, self.tokens, self.config.final_k)
 
 
 def result(stages: Stages) -> DataFrame:
     """One row a question: mode, counts, chunk ids and context in final order; questions without evidence have none."""
     ordered = F.array_sort(F.collect_list(F.struct("place", "node_id", "text")))
-    texts = stages.ranked.groupBy("qid").agg(ordered.alias("o")).select("qid", F.array_join(F.transform("o", lambda x: x["node_id"]), ",").alias("chunk_ids"), F.array_join(F.transform("o", lambda x: x["text"]), "\n\n").alias("context"))
+    final = stages.ranked.join(stages.texts.select("book_id", F.col("chunk_id").alias("node_id"), "text"), ["book_id", "node_id"])
+    texts = final.groupBy("qid").agg(ordered.alias("o")).select("qid", F.array_join(F.transform("o", lambda x: x["node_id"]), ",").alias("chunk_ids"), F.array_join(F.transform("o", lambda x: x["text"]), "\n\n").alias("context"))
     return stages.route.join(texts, "qid", "left").select("qid", "mode", "n_seeds", "n_region", "n_relations", "n_candidates", F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"), F.coalesce("context", F.lit("")).alias("context"))

@@ -9,7 +9,7 @@ from folioweave.config import Adaptive, Region
 from folioweave.functions import text as X
 from folioweave.functions import vectors as V
 from folioweave.operators import adaptive, metrics, region, views
-from folioweave.operators.questions import dense, entity_overlap, question_entities, token_overlap_sql
+from folioweave.operators.questions import dense, entity_overlap, question_entities, token_overlap_sql, token_sets
 from folioweave.plans.index_queries import BFS_SQL, NODE_ENTITY_SQL, load
 from folioweave.plans.registry import query
 from folioweave.session import cut, table
@@ -188,7 +188,8 @@ def _c2(spark: SparkSession, d: str) -> region.Stages:
 
 @query(SELECTED_SQL + " SELECT qid, node_id, score, place FROM sl", recursive=True)
 def c2_tree_prune(spark: SparkSession, d: str) -> DataFrame:
-    return region.tree_prune(views.questions(table(spark, d, "predictions"), "C2"), load(spark, d, "node_texts"), C2).select("qid", "node_id", "score", "place")
+    texts = cut(load(spark, d, "node_texts"), "node_texts")
+    return region.tree_prune(views.questions(table(spark, d, "predictions"), "C2"), texts, token_sets(texts), C2).select("qid", "node_id", "score", "place")
 
 
 @query(SELECTED_SQL + " SELECT qid, chunk_id FROM rc", recursive=True)
