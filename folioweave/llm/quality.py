@@ -12,9 +12,11 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TAG = re.compile(r"<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};|&#\d+;")
 _RULE = re.compile(r"^[\s|+\-=:_]+$")
 _CJK = re.compile(r"[㐀-鿿]")
+_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+_DIGIT = re.compile(r"\d")
+_FORMAT = regex.compile(r"\p{Cf}+")
+_PARTS = re.compile(r"[\s,;|]+")
+_BULLET = re.compile(r"[-+*•→–—·=▪◦‣:]+")
 _FORM = re.compile(r"[a-z]+[0-9]+[a-z0-9]*|[0-9]+[a-z]+[0-9a-z]*|\w+[=]\S+|0x\w+|\d\d:\d\d:\d\d|[\w.]+/[\w./]+", re.I)
 
 #: Statistics that are ranked within a language, each a number for every document that has text.
@@ -39,7 +46,7 @@ STATS = "doc_id bigint, language string, " + ", ".join(f"{f} double" for f in FI
 
 def _cells(line: str, sep: str) -> int:
     if sep == "  ":
-        return len(re.split(r"\s{2,}", line.strip()))
+        return len(re.split(r"\s{2,}", line.strip())) if "  " in line or "\t" in line or not line.isascii() else 1
     if sep == "|":
         return line.strip().strip("|").count("|") + 1 if "|" in line else 1
     return line.count(sep) + 1
@@ -91,6 +98,26 @@ def _coded(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def _odd(token: str) -> bool:
+    """Whether a token is no word, number or usual sign: signs inside, consonants only, or too long for any word."""
+    core = token.strip(".,;:!?\"'“”’‘«»„()[]…—–-*_|>#。，、！？「」")
+    if not core:
+        return len(token) > 1 or token in "~^\\|{}_=+<>@#$%&*"
+    if _CJK.search(core) or core.replace(".", "").replace(",", "").replace(":", "").isdigit():
+        return False
+    if len(core) > 40 and not re.search(r"[-/.–—]\w+[-/.–—]", core):
+        return True
+    inner = any(not (c.isalpha() or c in "'’-.&/,") for c in core)
+    if inner and not core[-1:].isdigit() and not re.match(r"[£$€]?[\d.,]+\w{0,2}$", core):
+        return True
+    plain = re.sub(r"[^a-zA-Z]", "", core)
+    return len(plain) >= 4 and plain == core and not re.search(r"[aeiouyAEIOUY]", plain) or len(plain) >= 5 and bool(re.search(r"[bcdfghjklmnpqrstvwxz]{6,}", plain.lower()))
+
+
+_odd_kept = lru_cache(maxsize=100_000)(_odd)
+_coded_kept = lru_cache(maxsize=100_000)(_coded)
+
+
 def _repeats(ids: np.ndarray, size: int) -> float:
     """The share of runs of `size` units that occurred before, by a rolling hash of the units' numbers."""
     runs = np.zeros(len(ids) - size + 1, np.uint64)
@@ -101,14 +128,16 @@ def _repeats(ids: np.ndarray, size: int) -> float:
 
 def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     """(language, the numbers of FIELDS) of a text that is not blank."""
-    text = "".join(c for c in unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n")).replace("\xa0", " ") if unicodedata.category(c) != "Cf")
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii():
+        text = _FORMAT.sub("", unicodedata.normalize("NFC", text).replace("\xa0", " "))
     lines = [x.strip("  　") for x in text.split("\n")]
     lines = [x.strip() if "\t" not in x else x.strip(" ") for x in lines if x.strip()]
     size = sum(map(len, lines)) or 1
     words = _WORD.findall(text)
     lower = [w.lower() for w in words]
     han = len(_CJK.findall(text))
-    cyrillic = len(re.findall(r"[Ѐ-ӿ]", text))
+    cyrillic = len(_CYRILLIC.findall(text)) if not text.isascii() else 0
     letters = sum(map(len, words))
     if han > 0.2 * letters:
         language = "zh"
@@ -117,17 +146,21 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
         hits = sum(c in shared for c in units)
     else:
         units = lower
-        counts = {lang: sum(w in ws for w in lower) for lang, ws in common.items() if lang != "zh"}
+        counts = dict.fromkeys((lang for lang in common if lang != "zh"), 0)
+        for word, times in Counter(lower).items():
+            for lang, shared in common.items():
+                if word in shared and lang != "zh":
+                    counts[lang] += times
         language = "ru" if cyrillic > 0.4 * letters else max(sorted(counts), key=lambda k: counts[k], default="") if any(counts.values()) else "und"
         hits = counts.get(language, 0)
     n = len(units)
-    blank = sum(c.isspace() for c in text)
-    digits = sum(c.isdigit() for c in text)
-    seen = max(1, len(text) - blank)
-    symbols = seen - digits - letters
+    digits = len(_DIGIT.findall(text))
     tokens = text.split()
+    seen = max(1, sum(map(len, tokens)))
+    symbols = seen - digits - letters
     joined = " ".join(tokens)
-    packed = len(zlib.compress(joined.encode("utf-8", "replace"), 6)) / max(1, len(joined.encode("utf-8", "replace")))
+    encoded = joined.encode("utf-8", "replace")
+    packed = len(zlib.compress(encoded, 6)) / max(1, len(encoded))
     top_line = max(Counter(lines).items(), key=lambda x: len(x[0]) * x[1], default=("", 0))
     sentences = Counter(s.strip() for s in _SENTENCE.findall(joined) if len(s.strip()) > 3)
     top_sentence = max(sentences.items(), key=lambda x: len(x[0]) * x[1], default=("", 0))
@@ -144,28 +177,17 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     repeat = _repeats(ids, 3) if len(tokens) > 10 else 0.0
     if han and len(tokens) < 0.2 * n:
         repeat = _repeats(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), 8) if len(text) > 38 else 0.0
-    odd = 0
-    parts = [t for t in re.split(r"[\s,;|]+", text) if t and not re.fullmatch(r"[-+*•→–—·=▪◦‣:]+", t)]
-    for t in parts:
-        core = t.strip(".,;:!?\"'“”’‘«»„()[]…—–-*_|>#。，、！？「」")
-        if not core:
-            odd += len(t) if len(t) > 1 or t in "~^\\|{}_=+<>@#$%&*" else 0
-            continue
-        if _CJK.search(core) or core.replace(".", "").replace(",", "").replace(":", "").isdigit():
-            continue
-        inner = sum(not (c.isalpha() or c in "'’-.&/,") for c in core)
-        plain = re.sub(r"[^a-zA-Z]", "", core)
-        if len(core) > 40 and not re.search(r"[-/.–—]\w+[-/.–—]", core) or inner and not core[-1:].isdigit() and not re.match(r"[£$€]?[\d.,]+\w{0,2}$", core) or len(plain) >= 4 and plain.isalpha() and not re.search(r"[aeiouyAEIOUY]", plain) and plain == core or len(plain) >= 5 and re.search(r"[bcdfghjklmnpqrstvwxz]{6,}", plain.lower()):
-            odd += len(t)
+    parts = [t for t in _PARTS.split(text) if t and not _BULLET.fullmatch(t)]
+    odd = sum(len(t) for t in parts if (_odd_kept(t) if len(t) <= 40 else _odd(t)))
     whole = sum(map(len, parts)) or 1
     single = sum(len(t) == 1 and not _CJK.match(t) for t in parts) / max(1, len(parts))
     short = sum(len(x) <= 60 for x in lines) / max(1, len(lines))
-    ends = sum(bool(_ENDS.search(x)) for x in lines) / max(1, len(lines))
+    ends = sum(bool(_ENDS.search(x, max(0, len(x) - 60))) for x in lines) / max(1, len(lines))
     longest = max((len(s.split()) + len(_CJK.findall(s)) / 2 for x in sentences for s in re.split(r"[;；:：]", x)), default=0)
     values = dict(
         n_words=n, mean_word=letters / max(1, len(words)), symbol_ratio=symbols / seen, digit_ratio=digits / seen, end_share=ends, common_share=hits / max(1, n), short_line_share=short,
         odd_word_share=odd / whole, repeat_share=repeat, compression=packed, unpunctuated=float(longest), list_share=list_share(lines), table_share=table_share(lines),
-        markup_share=sum(len(m) for m in _TAG.findall(text)) / max(1, len(text)), form_share=sum(len(t) for t in tokens if _coded(t)) / seen, single_share=single, top_share=top, n_lines=float(len(lines)), letters=letters / seen,
+        markup_share=sum(len(m) for m in _TAG.findall(text)) / max(1, len(text)), form_share=sum(len(t) for t in tokens if (_coded_kept(t) if len(t) <= 40 else _coded(t))) / seen, single_share=single, top_share=top, n_lines=float(len(lines)), letters=letters / seen,
     )
     return (language, *(float(values[f]) for f in FIELDS))
 
