@@ -8,7 +8,10 @@ hold up to one document.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,16 +29,23 @@ FEATURES = 4096
 LABEL_WEIGHT = 0.8
 
 
-def _features(texts: list[str | None]) -> np.ndarray:
-    """Hashed counts of words and of character shapes, damped and scaled to length 1."""
-    import re
-    import zlib
+def _slot(word: str) -> int:
+    """The feature of a word: digits and capitalised words count by their shape, others by themselves."""
+    shape = "9" if word.isdigit() else "A" if word[:1].isupper() else word.lower()
+    return zlib.crc32(shape.encode("utf-8", "replace")) % FEATURES
+
+
+_slot_kept = lru_cache(maxsize=200_000)(_slot)
+_TOKEN = re.compile(r"\w+|[^\w\s]|\n")
 
+
+def _features(texts: list[str | None]) -> np.ndarray:
+    """Hashed counts of words and signs, damped and scaled to length 1."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     for i, text in enumerate(texts):
-        for word in re.findall(r"\w+|[^\w\s]|\n", text or ""):
-            shape = "9" if word.isdigit() else "A" if word[:1].isupper() else word.lower()
-            out[i, zlib.crc32(shape.encode("utf-8", "replace")) % FEATURES] += 1
+        slots = [_slot_kept(w) if len(w) <= 64 else _slot(w) for w in _TOKEN.findall(text or "")]
+        if slots:
+            out[i] = np.bincount(slots, minlength=FEATURES)
     np.log1p(out, out=out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
