@@ -21,7 +21,7 @@ from folioweave.session import cut
 
 #: Rows that one comparison holds at most on each side.
 TILE = 1024
-#: Members of a connected set up to which it is divided in one task.
+#: Members of a connected set up to which it is divided with a matrix of all its cosines.
 LARGE = 4096
 #: Linking uses vectors stored in bytes; their cosines are this near to the exact ones.
 SLACK = 0.02
@@ -137,17 +137,19 @@ def _judged(members: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     return members.join(lows.groupBy("label").agg(F.min("low").alias("low")), "label").select("key", "label", "n", "low")
 
 
-def _tile_links(members: DataFrame, vectors: DataFrame, size: int, least: float) -> DataFrame:
-    """Links of cosine `least` within each two tiles of a set."""
+def _degrees(members: DataFrame, vectors: DataFrame, size: int, least: float) -> DataFrame:
+    """members (key, label, n) with `degree`, the number of others of their set that are similar."""
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        units = unit(unpack(group["v"], size).astype(np.float64)).astype(np.float32)
-        keys = group["key"].to_numpy()
-        low = _reached(units @ units.T >= least)
-        linked = np.flatnonzero(low != np.arange(len(low)))
-        return pd.DataFrame({"a": keys[low[linked]], "b": keys[linked]})
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        one, two = _sides(group, size)
+        near = one @ two.T >= least - 1e-9
+        keys, tile = group["key"].to_numpy(), group["tile"].to_numpy()
+        found = [(keys[tile == i], near.sum(axis=1) - (i == j))] + ([(keys[tile == j], near.sum(axis=0))] if i != j else [])
+        return pd.DataFrame({"key": np.concatenate([k for k, _ in found]), "degree": np.concatenate([d for _, d in found]).astype(np.int64)})
 
-    return _tiles(members, vectors).groupBy("label", "i", "j").applyInPandas(link, "a bigint, b bigint")
+    counts = _tiles(members, vectors).groupBy("label", "i", "j").applyInPandas(count, "key bigint, degree bigint")
+    return members.join(counts.groupBy("key").agg(F.sum("degree").alias("degree")), "key")
 
 
 def cliques(keys: np.ndarray, near: np.ndarray, smallest: int) -> np.ndarray:
@@ -177,14 +179,44 @@ def cliques(keys: np.ndarray, near: np.ndarray, smallest: int) -> np.ndarray:
     return labels
 
 
+def large_cliques(keys: np.ndarray, units: np.ndarray, degrees: np.ndarray, least: float, smallest: int) -> np.ndarray:
+    """What `cliques` gives, without a matrix of all pairs: memory for the rows and for the neighbours of one of them."""
+    labels = np.full(len(keys), -1, np.int64)
+    free = np.ones(len(keys), bool)
+    for seed in np.lexsort((keys, -degrees)):
+        if not free[seed]:
+            continue
+        around = np.flatnonzero(units @ units[seed] >= least)
+        around = around[around != seed]
+        rows = around[free[around]]
+        group = [seed]
+        near = units[rows] @ units[rows].T >= least
+        np.fill_diagonal(near, False)
+        fits = np.ones(len(rows), bool)
+        counts = near.sum(axis=1)
+        while fits.any():
+            left = np.flatnonzero(fits)
+            best = left[np.lexsort((keys[rows[left]], -counts[left]))[0]]
+            group.append(rows[best])
+            gone = np.flatnonzero(fits & ~near[best])
+            counts -= near[:, gone].sum(axis=1)
+            fits[gone] = False
+        if len(group) >= smallest:
+            others = around[~np.isin(around, group)]
+            if not (units[others] @ units[group].T >= least).all(axis=1).any():
+                labels[group] = keys[group].min()
+            free[group] = False
+    return labels
+
+
 def similar_groups(rows: DataFrame, key: str, column: str, size: int, least: float = 0.65, smallest: int = 4) -> DataFrame:
     """(key, label, n): the groups of at least `smallest` rows of which every two have a cosine of at least `least`.
 
     Null keys and vectors that are null, of another length, zero or not finite are left out; of several vectors of one
     key the smallest counts; exact copies under different keys are members like any other. An empty table gives no rows.
     Connected sets are compared in tiles of bounded size. One that is no group as a whole is divided into those it
-    contains, in one task if it has at most LARGE members; a larger one is first cut where its links are weakest, by
-    raising the cosine that links until its parts are groups or small.
+    contains, whatever its size; in sets of more than LARGE members similar ones are counted in tiles first, and then one
+    task holds the vectors and the neighbours of one member, not all cosines.
     """
     spark = rows.sparkSession
     vectors = cut(usable_rows(rows, key, column, size).groupBy("key").agg(F.min("v").alias("v")), "vectors")
@@ -202,28 +234,26 @@ def similar_groups(rows: DataFrame, key: str, column: str, size: int, least: flo
     judged = cut(_judged(members, vectors, size), "judged")
     broken = F.col("low") < least - 1e-9  # cosines of tiles are exact up to the last digits
     whole, parts = judged.where(~broken), judged.where(broken)
-    for step in range(1, 7):
-        large = parts.where(F.col("n") > LARGE)
-        if large.limit(1).count() == 0:
-            break
-        links = _tile_links(large, vectors, size, least + 0.05 * step)
-        relabelled = minimum_labels(links).select(F.col("id").alias("key"), "label")
-        again = relabelled.join(relabelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest), "label")
-        judged = cut(_judged(again, vectors, size).unionByName(parts.where(F.col("n") <= LARGE)), "judged")
-        whole, parts = whole.unionByName(judged.where(~broken)), judged.where(broken)
     whole = whole.select("key", "label", "n")
+    large = parts.where(F.col("n") > LARGE)
+    counted = parts.where(F.col("n") <= LARGE).select("key", "label", "n", F.lit(None).cast("bigint").alias("degree"))
+    if large.limit(1).count():
+        counted = counted.unionByName(_degrees(large.select("key", "label", "n"), vectors, size, least))
 
     def divide(group: pd.DataFrame) -> pd.DataFrame:
         units = unit(unpack(group["v"], size).astype(np.float64))
         keys = group["key"].to_numpy(np.int64)
-        near = units @ units.T >= least - 1e-9
-        np.fill_diagonal(near, False)
-        found = cliques(keys, near, smallest)
+        if len(keys) > LARGE:
+            found = large_cliques(keys, units, group["degree"].to_numpy(np.int64), least - 1e-9, smallest)
+        else:
+            near = units @ units.T >= least - 1e-9
+            np.fill_diagonal(near, False)
+            found = cliques(keys, near, smallest)
         kept = found >= 0
         sizes_ = pd.Series(found[kept]).map(pd.Series(found[kept]).value_counts()) if kept.any() else pd.Series([], dtype="int64")
         return pd.DataFrame({"key": keys[kept], "label": found[kept], "n": sizes_.to_numpy(np.int64)})
 
-    divided = parts.where(F.col("n") <= LARGE).join(vectors, "key").groupBy("label").applyInPandas(divide, "key bigint, label bigint, n bigint")
+    divided = counted.join(vectors, "key").groupBy("label").applyInPandas(divide, "key bigint, label bigint, n bigint")
     return whole.unionByName(divided)
 
 
