@@ -1,14 +1,15 @@
 """Clusters of mutually similar records, by density of grid cells.
 
-Unit vectors are turned by several fixed rotations; in each the features are quantised to the signed axes on which they
-are largest, so that the sphere falls into cells. Cells are counted; within dense ones similar records are linked to a
-common core; cells of different rotations that share linked records are joined, and minimum labels are propagated to
-convergence. An exact check then keeps the groups of which every two members are similar.
+Up to ALL_PAIRS records every two are compared. Above, unit vectors are turned by several fixed rotations; in each the
+features are quantised to the signed axes on which they are largest, so that the sphere falls into cells. Cells are
+counted; within dense ones similar records are linked; cells of different rotations that share linked records are joined.
+Minimum labels are propagated over the links to convergence, and an exact check keeps or divides the connected sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,20 @@ from folioweave.session import cut
 
 #: Rows that one comparison holds at most on each side.
 TILE = 1024
+#: Records up to which every two are compared; more are compared within grid cells.
+ALL_PAIRS = 1_000_000
 #: Members of a connected set up to which it is divided with a matrix of all its cosines.
 LARGE = 4096
-#: Linking uses vectors stored in bytes; their cosines are this near to the exact ones.
-SLACK = 0.02
+#: Linking uses vectors stored in 16 bits; their cosines are this near to the exact ones.
+SLACK = 0.001
+#: Rotations whose cells are held at once.
+ROUND = 40
+
+
+def _heads(turned: np.ndarray, axes: int) -> np.ndarray:
+    """The signed axes on which each row is largest, as sorted numbers."""
+    top = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, :axes]
+    return np.sort(2 * top + (np.take_along_axis(turned, top, axis=1) < 0), axis=1)
 
 
 def grid_shape(total: int, size: int) -> tuple[int, int]:
@@ -37,88 +48,112 @@ def grid_shape(total: int, size: int) -> tuple[int, int]:
 
 
 def _packed(units: np.ndarray) -> list[bytes]:
-    scale = np.abs(units).max(axis=1, keepdims=True) / 127
-    return [row.tobytes() for row in np.round(units / scale).astype(np.int8)]
+    scale = np.abs(units).max(axis=1, keepdims=True) / 32767
+    return [row.tobytes() for row in np.round(units / scale).astype(np.int16)]
 
 
 def _unpacked(column) -> np.ndarray:
-    rows = unpack(column, len(column.iloc[0]), np.int8).astype(np.float32)
+    rows = unpack(column, len(column.iloc[0]) // 2, np.int16).astype(np.float32)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _pack(vectors: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield pd.DataFrame({"key": rows["key"], "packed": _packed(unit(unpack(rows["v"], size)))})
+
+    return vectors.mapInPandas(run, "key bigint, packed binary")
+
+
 def _cells(vectors: DataFrame, size: int, axes: int, rotations: int, seed: int) -> DataFrame:
-    """(key, cells): a record's cell in each rotation, as a number; one more axis is kept for cells that are too full."""
-    turns = [rotation(size, seed + t).astype(np.float32) for t in range(rotations)]
+    """(key, cells): a record's cell in each rotation, as a number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turns = [rotation(size, seed + t).astype(np.float32) for t in range(rotations)]
         for rows in batches:
             if not len(rows):
                 continue
             units = unit(unpack(rows["v"], size))
-            cells, finer = [], []
-            for turn in turns:
-                turned = units @ turn
-                top = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, : axes + 1]
-                signed = 2 * top + (np.take_along_axis(turned, top, axis=1) < 0)
-                head = np.sort(signed[:, :axes], axis=1)
-                cells.append((head * (2 * size) ** np.arange(axes)).sum(axis=1))
-                finer.append(signed[:, axes])
-            yield pd.DataFrame({"key": rows["key"], "packed": _packed(units), "cells": list(np.stack(cells, axis=1)), "finer": list(np.stack(finer, axis=1))})
-
-    return vectors.mapInPandas(run, "key bigint, packed binary, cells array<bigint>, finer array<bigint>")
-
-
-def _reached(near: np.ndarray) -> np.ndarray:
-    """For each row the smallest one that similar rows lead to."""
-    n = len(near)
-    low = np.arange(n)
-    while True:
-        lower = np.minimum(np.where(near, low[None, :], n).min(axis=1), low)
-        lower = lower[lower]
-        if (lower == low).all():
-            return low
-        low = lower
+            cells = [(_heads(units @ turn, axes) * (2 * size) ** np.arange(axes)).sum(axis=1) for turn in turns]
+            yield pd.DataFrame({"key": rows["key"], "cells": list(np.stack(cells, axis=1))})
 
+    return vectors.mapInPandas(run, "key bigint, cells array<bigint>")
 
-def _links(cells: DataFrame, packed: DataFrame, least: float, buckets: int) -> DataFrame:
-    """(a, b): links from each record of a cell to the smallest of those it is connected to there by similarity."""
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "cell", "part", "key"], kind="stable", ignore_index=True)
-        units, keys = _unpacked(rows["packed"]), rows["key"].to_numpy()
-        marks = rows[["turn", "cell", "part"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)])
-        a, b = [], []
-        for s, e in zip(starts, [*starts[1:], len(rows)]):
-            if e - s < 2:
-                continue
-            low = _reached(units[s:e] @ units[s:e].T >= least - SLACK)
-            linked = np.flatnonzero(low != np.arange(e - s))
-            a.append(keys[s:e][low[linked]])
-            b.append(keys[s:e][linked])
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+def _joined(low: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest row each row is connected to, after rows p and q are connected too."""
+    while True:
+        p, q = low[p], low[q]
+        apart = p != q
+        if not apart.any():
+            return low
+        p, q = p[apart], q[apart]
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while ((lower := low[low]) != low).any():
+            low = lower
+
+
+def _linked(low: np.ndarray, units: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """_joined by all similar pairs of rows `one` and rows `two`, in blocks."""
+    same = one is two
+    for s in range(0, len(one), 2 * TILE):
+        for t in range(s if same else 0, len(two), 2 * TILE):
+            i, j = one[s : s + 2 * TILE], two[t : t + 2 * TILE]
+            p, q = np.divmod(np.flatnonzero(units[i] @ units[j].T >= least - SLACK), len(j))
+            low = _joined(low, i[p], j[q])
+    return low
+
+
+def _compared(rows: pd.DataFrame, marks: list[str], least: float) -> pd.DataFrame:
+    """(a, b): links that connect all similar rows of tile i and tile j, within rows of equal marks."""
+    rows = rows.sort_values([*marks, "key"], kind="stable", ignore_index=True)
+    units, keys = _unpacked(rows["packed"]), rows["key"].to_numpy()
+    i, j, tile = (rows[c].to_numpy() for c in ("i", "j", "tile"))
+    values = rows[marks].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+    low = np.arange(len(rows))
+    for s, e in zip(starts, [*starts[1:], len(rows)]):
+        one = s + np.flatnonzero(tile[s:e] == i[s])
+        low = _linked(low, units, one, one if i[s] == j[s] else s + np.flatnonzero(tile[s:e] == j[s]), least)
+    linked = np.flatnonzero(low != np.arange(len(low)))
+    return pd.DataFrame({"a": keys[low[linked]], "b": keys[linked]})
+
+
+def _paired(placed: DataFrame) -> DataFrame:
+    """Rows with `tiles` and `tile`, once for each pair of tiles (i, j) that theirs is in."""
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    return placed.select("*", other.alias("with_tile")).select("*", F.least("tile", "with_tile").alias("i"), F.greatest("tile", "with_tile").alias("j")).drop("with_tile", "tiles")
 
-    return cells.join(packed, "key").groupBy(F.pmod(F.xxhash64("turn", "cell", "part"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda rows: link(rows), "a bigint, b bigint")
 
+def _all_links(vectors: DataFrame, size: int, least: float, total: int) -> DataFrame:
+    """The links of all pairs."""
+    tiles = max(-(-total // (32 * TILE)), min(12, -(-total // (2 * TILE))), 1)
+    placed = _pack(vectors, size).withColumn("tiles", F.lit(tiles)).withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int"))
+    return _paired(placed).groupBy("i", "j").applyInPandas(lambda rows: _compared(rows, ["i", "j"], least), "a bigint, b bigint")
 
-def _pass(vectors: DataFrame, size: int, axes: int, rotations: int, seed: int, least: float, total: int) -> DataFrame:
-    """The links that one set of rotations gives."""
+
+def _cell_links(vectors: DataFrame, size: int, axes: int, rotations: int, seed: int, least: float, total: int) -> DataFrame:
+    """The links that one set of rotations gives; a cell too full for one comparison is compared in pairs of tiles."""
     celled = cut(_cells(vectors, size, axes, rotations, seed), "cells")
-    placed = celled.select("key", F.posexplode(F.arrays_zip("cells", "finer")).alias("turn", "x")).select("key", "turn", F.col("x.cells").alias("cell"), F.col("x.finer").alias("finer"))
+    placed = celled.select("key", F.posexplode("cells").alias("turn", "cell"))
     counts = placed.groupBy("turn", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # dense cells
-    full = placed.join(counts, ["turn", "cell"])
-    # a cell too full for one comparison is cut by its next axis, and what is still too full by a hash
-    parts = full.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("turn", "cell", "finer")))
-    part = F.when(F.col("n") <= TILE, F.lit(0)).otherwise(1 + F.col("finer") * 1_000_000 + F.when(F.col("m") <= TILE, F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "turn"), F.ceil(F.col("m") / TILE))))
+    tiled = placed.join(counts, ["turn", "cell"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key", "turn"), F.col("tiles")).cast("int"))
     buckets = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, int(total * rotations / 60_000))
-    return _links(parts.select("key", "turn", "cell", part.cast("bigint").alias("part")), celled.select("key", "packed"), least, buckets)
+    marks = ["turn", "cell", "i", "j"]
+    return _paired(tiled).drop("n").join(_pack(vectors, size), "key").groupBy(F.pmod(F.xxhash64(*marks), F.lit(buckets)).alias("bucket")).applyInPandas(lambda rows: _compared(rows, marks, least), "a bigint, b bigint")
+
+
+def _grid_links(vectors: DataFrame, size: int, least: float, total: int) -> DataFrame:
+    axes, rotations = grid_shape(total, size)
+    rounds = [cut(_cell_links(vectors, size, axes, min(ROUND, rotations - t), 100 + t, least, total), "links") for t in range(0, rotations, ROUND)]
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def _tiles(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """Members of each label with their tile, and the pairs of tiles that have to be compared."""
     placed = members.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).join(vectors, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    return placed.select("*", other.alias("with_tile")).select("label", "key", "v", F.least("tile", "with_tile").alias("i"), F.greatest("tile", "with_tile").alias("j"), "tile")
+    return _paired(placed).select("label", "key", "v", "i", "j", "tile")
 
 
 def _sides(group: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,16 +253,10 @@ def similar_groups(rows: DataFrame, key: str, column: str, size: int, least: flo
     contains, whatever its size; in sets of more than LARGE members similar ones are counted in tiles first, and then one
     task holds the vectors and the neighbours of one member, not all cosines.
     """
-    spark = rows.sparkSession
     vectors = cut(usable_rows(rows, key, column, size).groupBy("key").agg(F.min("v").alias("v")), "vectors")
     total = vectors.count()
-    axes, rotations = grid_shape(total, size)
-    first = cut(minimum_labels(_pass(vectors, size, axes, rotations, 100, least, total)).select(F.col("id").alias("key"), "label"), "labels")
-    # once more with wider cells: records that are linked to none yet, and a few members for each set of linked ones
-    chosen = first.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))).where("rn <= 4").select("key")
-    left = vectors.join(first, "key", "left_anti").unionByName(vectors.join(chosen, "key", "left_semi"))
-    more = _pass(left, size, axes - 1, 6, 500, least, total).unionByName(first.select(F.col("label").alias("a"), F.col("key").alias("b")))
-    labels = cut(minimum_labels(more).select(F.col("id").alias("key"), "label"), "labels")
+    links = (_all_links if total <= ALL_PAIRS else _grid_links)(vectors, size, least, total)
+    labels = cut(minimum_labels(links).select(F.col("id").alias("key"), "label"), "labels")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest)
     members = labels.join(sizes, "label")
 

@@ -2,7 +2,7 @@ import numpy as np
 
 import folioweave.llm.clusters as module
 from folioweave.llm.clusters import cliques, similar_groups
-from tests.llm.test_vectors import frame
+from tests.llm.test_vectors import frame, planted
 
 
 def labelled(found):
@@ -44,3 +44,37 @@ def test_large_cliques_without_a_matrix():
     near = units @ units.T >= 0.65
     np.fill_diagonal(near, False)
     assert list(module.large_cliques(keys, units, near.sum(axis=1), 0.65, 4)) == list(cliques(keys, near, 4))
+
+
+def test_groups_in_overfull_cells(spark, monkeypatch):
+    """Crowded records, so that every cell holds several tiles; linked by the grid alone."""
+    monkeypatch.setattr(module, "ALL_PAIRS", 0, raising=False)
+    monkeypatch.setattr(module, "TILE", 8)
+    ids, rows = planted(8, [4] * 12, 0, spread=0.5)
+    rows[:] /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[:, 0] += 0.8  # all lean to one axis
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    bar = 0.8
+    near = units.astype(np.float64) @ units.T.astype(np.float64) >= bar
+    np.fill_diagonal(near, False)
+    met = near | np.eye(len(ids), dtype=bool)
+    for _ in range(8):
+        met = met @ met
+    reached = met.argmax(axis=1)
+    found = labelled(similar_groups(frame(spark, ids, rows), "id", "v", 24, bar))
+    right = {}
+    for low in np.unique(reached):
+        rows_ = np.flatnonzero(reached == low)
+        labels = cliques(ids[rows_], near[np.ix_(rows_, rows_)], 4)
+        for k in np.flatnonzero(labels >= 0):
+            right[int(ids[rows_[k]])] = (int(labels[k]), int((labels == labels[k]).sum()))
+    assert right and found == right
+
+
+def test_rows_of_an_overfull_cell_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(module, "TILE", 4)
+    axis = module.rotation(24, 100)[:, 0]
+    rows = (axis + 0.05 * np.random.default_rng(2).standard_normal((30, 24))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(rows)], "key bigint, v binary")
+    links = module._cell_links(vectors, 24, 1, 1, 100, 0.65, 30)  # one cell of one rotation
+    assert {r.label for r in module.minimum_labels(links).collect()} == {0} and module.minimum_labels(links).count() == 30
