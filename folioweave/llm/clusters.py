@@ -9,7 +9,7 @@ Minimum labels are propagated over the links to convergence, and an exact check
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,23 +28,41 @@ ALL_PAIRS = 1_000_000
 LARGE = 4096
 #: Linking uses vectors stored in 16 bits; their cosines are this near to the exact ones.
 SLACK = 0.001
+#: The chance with which two records just at the bar share a cell in some rotation. A member of a group of four has three.
+MEET = 0.95
 #: Rotations whose cells are held at once.
 ROUND = 40
 
 
+@lru_cache(maxsize=64)
+def _shared(axes: int, size: int, least: float) -> float:
+    """The chance that two random vectors of cosine `least` share a cell of one rotation."""
+    rng, hits, pairs = np.random.default_rng(7), 0, 0
+    while pairs < 60_000 or hits < 30 and pairs < 1_000_000:
+        x, y = rng.standard_normal((2, 20_000, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = least * x + np.sqrt(1 - least**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        hits += int((_heads(x, axes) == _heads(y, axes)).all(axis=1).sum())
+        pairs += len(x)
+    return max(hits, 1) / pairs
+
+
 def _heads(turned: np.ndarray, axes: int) -> np.ndarray:
     """The signed axes on which each row is largest, as sorted numbers."""
     top = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, :axes]
     return np.sort(2 * top + (np.take_along_axis(turned, top, axis=1) < 0), axis=1)
 
 
-def grid_shape(total: int, size: int) -> tuple[int, int]:
+def grid_shape(total: int, size: int, least: float = 0.65) -> tuple[int, int]:
     """(axes, rotations): enough axes that a cell holds a bounded number of unrelated records, and so many rotations that
-    similar records meet in some cell all but surely."""
+    two records of cosine `least` share some cell with the chance MEET."""
     axes = 2
     while total / (2.0 * size) ** axes > 16 and axes < 6:
         axes += 1
-    return axes, {2: 10, 3: 20}.get(axes, 40)
+    axes = min(axes, size)
+    chance = _shared(axes, size, least)
+    return axes, 1 if chance >= MEET else int(np.ceil(np.log(1 - MEET) / np.log1p(-chance)))
 
 
 def _packed(units: np.ndarray) -> list[bytes]:
@@ -145,7 +163,7 @@ def _cell_links(vectors: DataFrame, size: int, axes: int, rotations: int, seed:
 
 
 def _grid_links(vectors: DataFrame, size: int, least: float, total: int) -> DataFrame:
-    axes, rotations = grid_shape(total, size)
+    axes, rotations = grid_shape(total, size, least)
     rounds = [cut(_cell_links(vectors, size, axes, min(ROUND, rotations - t), 100 + t, least, total), "links") for t in range(0, rotations, ROUND)]
     return reduce(DataFrame.unionByName, rounds)
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 import folioweave.llm.clusters as module
-from folioweave.llm.clusters import cliques, similar_groups
+from folioweave.llm.clusters import cliques, grid_shape, similar_groups
 from tests.llm.test_vectors import frame, planted
 
 
@@ -46,6 +46,20 @@ def test_large_cliques_without_a_matrix():
     assert list(module.large_cliques(keys, units, near.sum(axis=1), 0.65, 4)) == list(cliques(keys, near, 4))
 
 
+def test_grid_turns_until_pairs_at_the_bar_meet():
+    for total in (80_000, 10_000_000):
+        axes, rotations = grid_shape(total, 96)
+        rng = np.random.default_rng(1)
+        x, y = rng.standard_normal((2, 100_000, 96))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = 0.65 * x + np.sqrt(1 - 0.65**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        top = [np.argsort(-np.abs(z), axis=1)[:, :axes] for z in (x, y)]
+        signed = [np.sort(2 * t + (np.take_along_axis(z, t, axis=1) < 0), axis=1) for t, z in zip(top, (x, y))]
+        chance = (signed[0] == signed[1]).all(axis=1).mean()
+        assert 1 - (1 - chance) ** rotations > 0.9
+
+
 def test_groups_in_overfull_cells(spark, monkeypatch):
     """Crowded records, so that every cell holds several tiles; linked by the grid alone."""
     monkeypatch.setattr(module, "ALL_PAIRS", 0, raising=False)
