@@ -272,13 +272,17 @@ def phonetic(word: str) -> str:
 
 def block_keys(word: str) -> set[str]:
     """The phonetic code of a word and that code without each one of its symbols, so that one wrong consonant, one more
-    or one less still leaves a common key."""
+    or one less still leaves a common key. Such codes of few symbols say little, so words near them have their letters
+    without each one, and those of seven letters, which may differ by two, their codes too."""
     code = phonetic(word)
-    if len(code) < 2:
-        return {f"={word[:6]}"}
-    if len(code) < 4:
-        return {code}
-    return {code, f"~{phonetic(_shape(word))}", *(code[:i] + code[i + 1 :] for i in range(len(code)))}
+    keys = {code} if len(code) > 1 else {f"={word[:6]}"}
+    if len(word) > 3:
+        keys.add(f"/{_shape(word)}")
+        if len(code) < 5:
+            keys |= {f"-{word}", *(f"-{word[:i]}{word[i + 1 :]}" for i in range(len(word)))}
+    if len(code) > 3 or len(code) > 1 and len(word) > 6:
+        keys |= {f"~{phonetic(_shape(word))}", *(code[:i] + code[i + 1 :] for i in range(len(code)))}
+    return keys
 
 
 @lru_cache(maxsize=100_000)
@@ -430,7 +434,9 @@ def keys_of(form: str, first: str, rest: str, extra: str) -> set[str]:
         return set()
     keys = set().union(*(block_keys(w) for w in words))
     if form == PERSON:
-        keys |= {f"@{r}{rest[:1]}" for r in first.split(" ")}
+        keys |= {f"{at}{rest[:1]}" for r in first.split(" ") for at in (f"@{r}", f"^{r[:1]}")}
+    if form == INITIAL:
+        keys.add(f"^{first}{rest[:1]}")
     if form == WORD:
         if len(rest) <= 6:
             keys.add(f"#{rest}")

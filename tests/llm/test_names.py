@@ -62,3 +62,9 @@ def test_very_long_names(spark):
 
 def test_no_names(spark):
     assert link_names(spark.createDataFrame([], "book_id string, name string")).count() == 0
+
+
+@pytest.mark.parametrize("a, b", [("a whinouham", "anthony whinourham"), ("baker", "baket"), ("j. abbot", "j. abot"), ("baker", "john bakter"), ("lake barnes", "lake bames"), ("hale", "halle"), ("a. whinouham", "anthony wbinouhan")])
+def test_names_with_few_consonants_meet(a, b):
+    x, y = parse(a), parse(b)
+    assert compare(x, y) and keys_of(*x) & keys_of(*y)
