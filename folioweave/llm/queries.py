@@ -208,7 +208,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups, leaves = _groups(spark, sf_dir)
     groups = cut(groups, "groups")
-    described = typical_members(groups, leaves, "node_key", "embedding")
+    described = typical_members(groups, leaves, "node_key", "embedding", 96)
     parents = table(spark, sf_dir, "nodes").where("level > 0").select("book_id", F.col("node_id").alias("parent"), F.explode(F.array_distinct("children")).alias("child"))
     parents = parents.select("book_id", "parent", F.when(F.col("child").startswith("L"), F.col("child")).otherwise(F.concat(F.lit("L0_"), "child")).alias("node_id")).distinct()
     ids = leaves.select("node_key", "book_id", "node_id").dropDuplicates(["node_key"])

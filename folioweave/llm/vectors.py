@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.session import cut
+
 #: The most rows that centroids and axes are fitted on. Every row is indexed; the fit only shapes the index.
 FIT_ROWS = 60_000
 
@@ -45,6 +47,15 @@ def usable_rows(df: DataFrame, key: str, column: str, size: int) -> DataFrame:
     return chosen.mapInArrow(run, "key bigint, v binary, digest binary")
 
 
+def collapsed_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, single) of vectors (key, v, digest). members: (rep, key) of all rows whose vector occurs under several keys,
+    rep being the smallest of them; single: the vectors without the other copies."""
+    ids = vectors.select("key", "digest").distinct()
+    doubled = ids.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(ids.join(doubled, "digest").select("rep", "key"), "copies")
+    return members, vectors.join(members.where("key <> rep").select("key"), "key", "left_anti")
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, first by their largest element so that no square overflows."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)

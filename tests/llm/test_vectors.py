@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from folioweave.llm.clusters import cliques, group_pairs, grid_shape, similar_groups, typical_members
+from folioweave.llm.clusters import cliques, group_pairs, similar_groups, typical_members
 from folioweave.llm.components import minimum_labels
 from folioweave.llm.neighbours import nearest
 
@@ -81,7 +81,7 @@ def test_groups(spark):
     units = {int(i): v / np.linalg.norm(v) for i, v in zip(ids, rows.astype(np.float64))}
     for r in group_pairs(found).collect():
         assert r.a < r.b and units[r.a] @ units[r.b] >= 0.65
-    typical = typical_members(found, data, "id", "v", 2).collect()
+    typical = typical_members(found, data, "id", "v", 24, 2).collect()
     assert len(typical) == 4 and all(len(r.typical) == 2 for r in typical)
 
 
@@ -101,35 +101,14 @@ def test_groups_in_tiles(spark, monkeypatch):
     assert sorted(r.n for r in similar_groups(frame(spark, ids, rows), "id", "v", 24).select("label", "n").distinct().collect()) == [7, 60]
 
 
-def test_large_sets_are_cut_at_weak_links(spark, monkeypatch):
-    import folioweave.llm.clusters as module
-
-    monkeypatch.setattr(module, "LARGE", 10)
-    monkeypatch.setattr(module, "TILE", 8)
-    a, b = np.zeros(24), np.zeros(24)
-    a[0] = b[1] = 1
-    rng = np.random.default_rng(3)
-    near = lambda c, n: c + 0.02 * rng.standard_normal((n, 24))
-    bridge = (a + b) / np.sqrt(2)  # at 0.71 to both groups, which are at 0 to each other
-    rows = np.concatenate([near(a, 9), near(b, 7), bridge[None]]).astype(np.float32)
-    found = similar_groups(frame(spark, np.arange(17), rows), "id", "v", 24)
-    sizes = sorted(r.n for r in found.select("label", "n").distinct().collect())
-    assert sizes in ([7, 9], [7, 10], [8, 9])
-
-
 def test_cliques_of_a_chain():
-    near = np.zeros((9, 9), bool)
+    cosines = np.zeros((9, 9))
     for group in ((0, 1, 2, 3), (4, 5, 6, 7)):
         for a in group:
             for b in group:
-                near[a, b] = a != b
-    near[3, 4] = near[4, 3] = near[8, 0] = near[0, 8] = True
-    assert list(cliques(np.arange(9), near, 4)) == [0, 0, 0, 0, 4, 4, 4, 4, -1]
-
-
-@pytest.mark.parametrize("total, axes", [(10, 2), (80_000, 2), (10_000_000, 3)])
-def test_grid_grows_slowly(total, axes):
-    assert grid_shape(total, 96)[0] == axes
+                cosines[a, b] = 0.9
+    cosines[3, 4] = cosines[4, 3] = cosines[8, 0] = cosines[0, 8] = 0.7
+    assert list(cliques(np.arange(9), cosines, 0.65, 4)) == [0, 0, 0, 0, 4, 4, 4, 4, -1]
 
 
 def test_components(spark):
