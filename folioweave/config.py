@@ -16,6 +16,7 @@ class Indexing:
     reduced_dim: int = 10
     stop_nodes: int = 5
     prompt_chars: int = 8000
+    vector_dim: int = 96
 
 
 @dataclass(frozen=True)

@@ -87,11 +87,12 @@ def occurrence(dense_rows: DataFrame, k: int) -> DataFrame:
 
 
 def entity_aware(keyed: DataFrame, k: int) -> DataFrame:
-    """keyed (qid, node_id, key, overlap) by number of keys, then of shared entities; the first k; nodes without a key are
-    'unknown'."""
-    order = Window.partitionBy("qid").orderBy(F.desc(F.size("key")), F.desc("overlap"), "node_id")
+    """keyed (qid, node_id, key, overlap) by number of keys, then of shared entities; the first k; the keys under which a
+    node is among them are merged; nodes without a key are 'unknown'."""
+    order = Window.partitionBy("qid").orderBy(F.desc(F.size("key")), F.desc("overlap"), "node_id", F.array_join("key", "_"))
     ranked = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return ranked.select("qid", "node_id", F.when(F.size("key") > 0, F.array_join("key", "_")).otherwise("unknown").alias("key"), "place")
+    merged = merge_keys(ranked.select("qid", F.col("node_id").alias("chunk_id"), F.col("key").alias("names")))
+    return merged.select("qid", F.col("chunk_id").alias("node_id"), F.when(F.size("key") > 0, F.array_join("key", "_")).otherwise("unknown").alias("key"))
 
 
 def retrieve(questions: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, node_texts: DataFrame, node_entities: DataFrame, config: Adaptive | None = None) -> DataFrame:

@@ -21,6 +21,12 @@ def normalise(edges: DataFrame) -> DataFrame:
     return kept.withColumn("support_count", F.size(F.array_distinct("chunk_ids"))).select("book_id", "source", "relation", "target", "weight", "support_count", "chunk_ids")
 
 
+def normalise_arrivals(arrived: DataFrame, time: str) -> DataFrame:
+    """`normalise` with the arrival time kept, by which upserts are ordered."""
+    keyed = normalise(arrived.withColumn("book_id", F.struct("book_id", F.col(time).alias("at"))))
+    return keyed.select(F.col("book_id.book_id").alias("book_id"), *[c for c in keyed.columns if c != "book_id"], F.col("book_id.at").alias(time))
+
+
 def upsert(edges: DataFrame, order: str) -> DataFrame:
     """One row a triple of a book: the last by `order`, then the one of more support and weight, then by its chunks."""
     last = Window.partitionBy("book_id", "source", "relation", "target").orderBy(F.desc_nulls_last(order), F.desc("support_count"), F.desc("weight"), F.array_join("chunk_ids", ","))
@@ -63,9 +69,18 @@ def distances(starts: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
 
 
 def pair_distances(pairs: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
-    """pairs (book_id, a, b) with d, their least number of hops if at most `hops`, else null."""
-    reached = distances(pairs.select("book_id", F.col("a").alias("start")), edges, hops)
-    return pairs.join(reached.select("book_id", F.col("start").alias("a"), F.col("node").alias("b"), "d"), ["book_id", "a", "b"], "left")
+    """pairs (book_id, a, b) with d, their least number of hops if at most `hops`, else null.
+
+    Both ends go half the way: a shortest path of `hops` steps has a node that the one end reaches in half of them and the
+    other in the rest, so the neighbourhoods joined are those of half the depth."""
+    half = (hops + 1) // 2
+    ends = pairs.select("book_id", F.explode(F.array("a", "b")).alias("start"))
+    reached = cut(distances(ends, edges, half), "half")
+    one = reached.select("book_id", F.col("start").alias("a"), "node", F.col("d").alias("da"))
+    two = reached.where(F.col("d") <= hops - half).select("book_id", F.col("start").alias("b"), "node", F.col("d").alias("db"))
+    known = pairs.select("book_id", "a", "b").distinct()
+    met = known.join(one, ["book_id", "a"]).join(two, ["book_id", "b", "node"]).groupBy("book_id", "a", "b").agg(F.min(F.col("da") + F.col("db")).alias("d"))
+    return pairs.join(met, ["book_id", "a", "b"], "left")
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioweave.functions import text as X
 
-#: Datasets of multiple choice, for which exact match is the score and ROUGE-L equals it.
-CHOICE = ("InfiniteChoice", "NovelQA")
+#: Datasets of multiple choice, for which exact match is the only score.
+CHOICE = ("InfiniteChoice",)
 
 
 def exact_match(prediction: Column, truth: Column) -> Column:
@@ -16,35 +18,39 @@ def exact_match(prediction: Column, truth: Column) -> Column:
     return (X.standardise(F.coalesce(prediction, F.lit("Z"))) == X.standardise(F.coalesce(truth, F.lit("")))).cast("double")
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence of two arrays: the table's rows folded one after the other."""
+def _common(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence, the table's rows being the bits of one number."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & masks.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
-    def row(previous, x):
-        start = F.struct(F.array(F.lit(0)).alias("cells"), F.lit(0).alias("i"))
 
-        def cell(acc, y):
-            best = F.when(y == x, previous[acc["i"]] + 1).otherwise(F.greatest(previous[acc["i"] + 1], F.element_at(acc["cells"], -1)))
-            return F.struct(F.concat(acc["cells"], F.array(best)).alias("cells"), (acc["i"] + 1).alias("i"))
-
-        return F.aggregate(b, start, cell)["cells"]
-
-    return F.element_at(F.aggregate(a, F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0)), row), -1)
+@F.pandas_udf(T.IntegerType())
+def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The length of the longest common subsequence of two arrays of words, 0 for a null one."""
+    return pd.Series([_common(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)], dtype="int32")
 
 
 def rouge_l(prediction: Column, truth: Column) -> Column:
-    """The F score of the longest common subsequence of words, to four places; 0 for an empty side."""
-    a, b = X.words(X.standardise(F.coalesce(prediction, F.lit("")))), X.words(X.standardise(F.coalesce(truth, F.lit(""))))
-    n = common_length(a, b)
-    score = F.round(2 * n / (F.size(a) + F.size(b)), 4)
+    """The F score of the longest common subsequence of words, to four places; 0 for an empty side. Both as for exact
+    match: in upper case, a missing prediction counts as Z."""
+    a, b = X.words(X.standardise(F.coalesce(prediction, F.lit("Z")))), X.words(X.standardise(F.coalesce(truth, F.lit(""))))
+    score = F.round(2 * common_length(a, b) / (F.size(a) + F.size(b)), 4)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(score)
 
 
 def scored(predictions: DataFrame) -> DataFrame:
-    """(dataset, pipeline, em, rl) of each prediction. For free text the truth is the text, where there is one."""
+    """predictions with dataset, em and rl, both against `ground_truth`; where answers are options of one dataset of
+    multiple choice, rl is em."""
     dataset = F.split("book_id", "_")[0]
-    truth = F.when(dataset.isin(*CHOICE), F.col("ground_truth")).otherwise(F.coalesce("ground_truth_text", "ground_truth"))
-    em = exact_match(F.col("prediction"), truth)
-    return predictions.select(dataset.alias("dataset"), "pipeline", em.alias("em"), F.when(dataset.isin(*CHOICE), em).otherwise(rouge_l(F.col("prediction"), truth)).alias("rl"))
+    rows = predictions.withColumn("dataset", dataset).withColumn("em", exact_match(F.col("prediction"), F.col("ground_truth")))
+    return rows.withColumn("rl", F.when(F.col("dataset").isin(*CHOICE), F.col("em")).otherwise(rouge_l(F.col("prediction"), F.col("ground_truth"))))
 
 
 def averages(scores: DataFrame, *by: str) -> DataFrame:
@@ -54,8 +60,8 @@ def averages(scores: DataFrame, *by: str) -> DataFrame:
 
 def by_pipeline(scores: DataFrame) -> DataFrame:
     """Averages of each pipeline and of both pooled, the pooled row's pipeline being 'all'."""
-    grouped = scores.groupingSets([["pipeline"], []], "pipeline").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("em"), 6).alias("em"), F.grouping("pipeline").alias("pooled"))
-    return grouped.select(F.when(F.col("pooled") == 1, "all").otherwise(F.col("pipeline")).alias("pipeline"), "n", "em")
+    grouped = scores.groupingSets([["pipeline"], []], "pipeline").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("rl"), 6).alias("rl"), F.grouping("pipeline").alias("pooled"))
+    return grouped.select(F.when(F.col("pooled") == 1, "all").otherwise(F.col("pipeline")).alias("pipeline"), "n", "em", "rl")
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as X
+from folioweave.operators.ranking import placed
+from folioweave.prompts import RELATION, fill
 
 
 def eligible_chunks(mentions: DataFrame) -> DataFrame:
@@ -19,10 +21,11 @@ def pending(eligible: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def prompts(eligible: DataFrame, chunks: DataFrame, mentions: DataFrame, limit: int = 8000) -> DataFrame:
-    """(book_id, chunk_id, prompt): the entities asked about and the chunk's text, cut to `limit` characters."""
+    """(book_id, chunk_id, prompt): the entities asked about and the chunk's text, cut to `limit` characters as a model's
+    window demands."""
     named = mentions.join(eligible.select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_semi").groupBy("book_id", "chunk_id").agg(F.array_join(F.array_sort(F.collect_set("entity")), ", ").alias("names"))
     text = F.substring(F.coalesce("text", F.lit("")), 1, limit)
-    return named.join(chunks, ["book_id", "chunk_id"]).select("book_id", "chunk_id", F.concat(F.lit("Entities: "), "names", F.lit("\n\nText:\n"), text).alias("prompt"))
+    return named.join(chunks, ["book_id", "chunk_id"]).select("book_id", "chunk_id", fill(RELATION, entities=F.col("names"), text=text).alias("prompt"))
 
 
 def parse_output(outputs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -65,12 +68,9 @@ def merge_edges(relations: DataFrame) -> DataFrame:
     return relations.groupBy("book_id", "source", "relation", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
-def strongest(edges: DataFrame, k: int) -> DataFrame:
-    """Each book's `k` heaviest edges with their place; ties by source, relation, target."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("book_id").orderBy(F.desc("weight"), "source", "relation", "target")
-    return edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def by_weight(edges: DataFrame) -> DataFrame:
+    """All edges with their place in their book, heaviest first; ties by source, relation, target."""
+    return placed(edges, ["book_id"], [F.desc("weight"), F.col("source"), F.col("relation"), F.col("target")])
 
 
 def adjacent_relations(mentions: DataFrame) -> DataFrame:

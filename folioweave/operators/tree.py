@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.config import Indexing
 from folioweave.session import cut
 
 
@@ -36,9 +40,8 @@ def parents_of(edges: DataFrame) -> DataFrame:
 
 
 def group_parents(assigned: DataFrame, level: int) -> DataFrame:
-    """(book_id, node_id, level, n_children, children) from (book_id, node_id, cluster): a parent for each cluster."""
-    grouped = assigned.groupBy("book_id", "cluster").agg(F.countDistinct("node_id").alias("n_children"), F.array_join(F.array_sort(F.collect_set("node_id")), ",").alias("children"))
-    return grouped.select("book_id", F.concat(F.lit(f"L{level}_C"), F.col("cluster").cast("string")).alias("node_id"), F.lit(level).alias("level"), "n_children", "children")
+    """(book_id, parent_id, child_id) from (book_id, node_id, cluster): a parent for each cluster, named by level and number."""
+    return assigned.select("book_id", F.concat(F.lit(f"L{level}_C"), F.col("cluster").cast("string")).alias("parent_id"), F.col("node_id").alias("child_id")).distinct()
 
 
 def level_stats(nodes: DataFrame) -> DataFrame:
@@ -59,55 +62,77 @@ def soft_assign(probabilities: DataFrame, threshold: float = 0.1) -> DataFrame:
     return probabilities.where("size(p) > 0").select("id", F.explode(F.when(F.size(over) > 0, over).otherwise(best)).alias("s")).select("id", F.col("s.c").alias("cluster"))
 
 
-def _fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 40, floor: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Responsibilities and log likelihood of a full-covariance Gaussian mixture by expectation and maximisation."""
+@dataclass(frozen=True)
+class Mixture:
+    """A Gaussian mixture with full covariances: weights (k), means (k, d), lower triangles of the covariances (k, d, d)."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    roots: np.ndarray
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        d, out = x.shape[1], np.empty((len(x), len(self.weights)))
+        for j, (w, m, root) in enumerate(zip(self.weights, self.means, self.roots)):
+            z = np.linalg.solve(root, (x - m).T)
+            out[:, j] = np.log(w) - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(root)).sum() - 0.5 * d * np.log(2 * np.pi)
+        return out
+
+    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+        return _shares(self.logs(x))[0]
+
+
+def _shares(logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """(probabilities of the components, log likelihood of all rows)."""
+    top = logs.max(axis=1, keepdims=True)
+    total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+    return np.exp(logs - total[:, None]), float(total.sum())
+
+
+def _fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 40, floor: float = 1e-5) -> tuple[Mixture, float]:
+    """A mixture of k components and its log likelihood, by expectation and maximisation."""
     rng = np.random.default_rng(seed)
     n, d = x.shape
     means = x[rng.choice(n, k, replace=False)].copy()
     spread = np.cov(x.T).reshape(d, d) + floor * np.eye(d)
-    covs = np.repeat(spread[None], k, axis=0)
-    weights = np.full(k, 1.0 / k)
+    mix = Mixture(np.full(k, 1.0 / k), means, np.repeat(np.linalg.cholesky(spread)[None], k, axis=0))
     before = -np.inf
     for _ in range(rounds):
-        logs = np.empty((n, k))
-        for j in range(k):
-            chol = np.linalg.cholesky(covs[j])
-            z = np.linalg.solve(chol, (x - means[j]).T)
-            logs[:, j] = np.log(weights[j]) - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(chol)).sum() - 0.5 * d * np.log(2 * np.pi)
-        top = logs.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-        p = np.exp(logs - total[:, None])
-        like = float(total.sum())
+        p, like = _shares(mix.logs(x))
         if like - before < 1e-6 * max(1.0, abs(like)):
             break
         before = like
         mass = p.sum(axis=0) + 1e-12
-        weights = mass / n
         means = (p.T @ x) / mass[:, None]
+        roots = np.empty((k, d, d))
         for j in range(k):
             c = x - means[j]
-            covs[j] = (p[:, j][:, None] * c).T @ c / mass[j] + floor * np.eye(d)
-    return p, like
+            roots[j] = np.linalg.cholesky((p[:, j][:, None] * c).T @ c / mass[j] + floor * np.eye(d))
+        mix = Mixture(mass / n, means, roots)
+    return mix, like
 
 
 def choose_clusters(x: np.ndarray, most: int = 50) -> tuple[int, np.ndarray, list[float]]:
     """(k, responsibilities, criteria): the mixture of least BIC among 1 .. min(most, n // 2) - 1 components, stopping at
     the first that cannot be fitted."""
+    mix, scores = choose_mixture(x, most)
+    return (1, np.ones((len(x), 1)), scores) if mix is None else (len(mix.weights), mix.responsibilities(x), scores)
+
+
+def choose_mixture(x: np.ndarray, most: int = 50) -> tuple[Mixture | None, list[float]]:
+    """The mixture that `choose_clusters` chooses, none where all rows are one cluster."""
     n, d = x.shape
     top = min(most, max(1, n // 2))
-    if top <= 1:
-        return 1, np.ones((n, 1)), []
-    best, found, scores = 1, np.ones((n, 1)), []
+    found, scores = None, []
     for k in range(1, top):
         try:
-            p, like = _fit_mixture(x, k)
+            mix, like = _fit_mixture(x, k)
         except np.linalg.LinAlgError:
             break
         free = k * d * (d + 1) / 2 + k * d + k - 1
         scores.append(-2 * like + free * math.log(n))
         if scores[-1] == min(scores):
-            best, found = k, p
-    return best, found, scores
+            found = mix
+    return found, scores
 
 
 def reduce_dim(vectors: DataFrame, dim: int = 10, sample: int = 20_000) -> DataFrame:
@@ -132,32 +157,54 @@ def reduce_dim(vectors: DataFrame, dim: int = 10, sample: int = 20_000) -> DataF
     return vectors.select("book_id", "node_id", "embedding").mapInPandas(run, "book_id string, node_id string, z array<double>")
 
 
-def two_stage_clusters(reduced: DataFrame, global_size: int = 400, threshold: float = 0.1, most: int = 50) -> DataFrame:
-    """(book_id, node_id, cluster): soft clusters of each book's nodes, first whole, then within each coarse group.
+def _chosen(p: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cluster) of all clusters above the threshold, else of the likeliest."""
+    over = p > threshold
+    none = ~over.any(axis=1)
+    over[none, p[none].argmax(axis=1)] = True
+    return np.nonzero(over)
 
-    The coarse stage cuts a book into groups of about `global_size` nodes along its main axis by ranges of its first
-    reduced coordinate; the fine stage fits a mixture in each group, which bounds what one task holds. Cluster numbers
-    are unique in a book: group number times `most` plus the cluster's."""
-    marks = reduced.groupBy("book_id").agg(F.percentile_approx(F.col("z")[0], [i / 64 for i in range(1, 64)], 1000).alias("marks"), F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.least(F.lit(64), F.ceil(F.col("n") / global_size))).cast("int")
-    place = F.aggregate("marks", F.lit(0), lambda c, b: c + (F.col("z")[0] > b).cast("int"))
-    grouped = reduced.join(marks, "book_id").select("book_id", "node_id", "z", F.floor(place * parts / 64).cast("int").alias("g"))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node_id", kind="stable", ignore_index=True)  # the fit must not depend on the rows' order
-        x = np.stack(rows["z"].to_numpy())
-        if len(rows) <= x.shape[1] + 1:
-            p = np.ones((len(rows), 1))
-        else:
-            p = choose_clusters(x, min(most, 12))[1]
-        chosen = p > threshold
-        chosen[~chosen.any(axis=1), :] = False
-        none = ~chosen.any(axis=1)
-        chosen[none, p[none].argmax(axis=1)] = True
-        i, c = np.nonzero(chosen)
-        return pd.DataFrame({"book_id": rows["book_id"].to_numpy()[i], "node_id": rows["node_id"].to_numpy()[i], "cluster": (rows["g"].to_numpy()[i] * most + c).astype(np.int32)})
+def mixture_clusters(rows: DataFrame, keys: list[str], threshold: float, most: int, sample: int = 2000) -> DataFrame:
+    """(keys, node_id, cluster, z): soft clusters of the rows (keys, node_id, z) of each group.
 
-    return grouped.groupBy("book_id", "g").applyInPandas(fit, "book_id string, node_id string, cluster int")
+    A mixture is fitted to at most about `sample` rows of a group, chosen by a hash of the node, and every row gets its
+    clusters from that: parts of a group of bounded size, each with the group's mixture, so that a group of any size is in
+    no single task. A group of no more rows than coordinates and one is one cluster."""
+    kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+    sized = cut(rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys).withColumn("h", F.pmod(F.xxhash64("node_id"), F.lit(1 << 30))), "sized")
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node_id", kind="stable")  # the fit must not depend on the rows' order
+        x = np.stack(part["z"].to_numpy())
+        mix = choose_mixture(x, most)[0] if len(x) > x.shape[1] + 1 else None
+        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "model": [None if mix is None else pickle.dumps(mix)]})
+
+    models = sized.where(F.col("h") < (1 << 30) * (F.lit(float(sample)) / F.col("n"))).groupBy(*keys).applyInPandas(fit, f"{kinds}, model binary")
+    salts = sized.groupBy(*keys).agg(F.max("n").alias("n")).select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / sample).cast("int"))).alias("salt"))
+    models = cut(salts.join(models, keys, "left"), "models")  # one a part of a group
+    parts = sized.withColumn("salt", F.pmod("h", F.floor((F.col("n") - 1) / sample).cast("int") + 1).cast("int")).select(*keys, "salt", "node_id", "z")
+
+    def assign(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame(columns=[*keys, "node_id", "cluster", "z"])
+        stored = model["model"].iloc[0] if len(model) else None
+        p = np.ones((len(part), 1)) if stored is None else pickle.loads(stored).responsibilities(np.stack(part["z"].to_numpy()))
+        i, c = _chosen(p, threshold)
+        chosen = part.iloc[i]
+        return pd.DataFrame({**{k: chosen[k].to_numpy() for k in keys}, "node_id": chosen["node_id"].to_numpy(), "cluster": c.astype(np.int32), "z": chosen["z"].to_numpy()})
+
+    by = [*keys, "salt"]
+    return parts.groupBy(*by).cogroup(models.groupBy(*by)).applyInPandas(assign, f"{kinds}, node_id string, cluster int, z array<double>")
+
+
+def two_stage_clusters(reduced: DataFrame, threshold: float = 0.1, most: int = 50, sample: int = 2000) -> DataFrame:
+    """(book_id, node_id, cluster): soft clusters of each book's nodes, first over the book, then within each coarse group,
+    both by mixtures of least BIC; a node may be in several groups of either stage. Cluster numbers are unique in a book:
+    the group's number times `most` plus the cluster's."""
+    coarse = mixture_clusters(reduced.select("book_id", "node_id", "z"), ["book_id"], threshold, most, sample)
+    fine = mixture_clusters(coarse.select("book_id", F.col("cluster").alias("g"), "node_id", "z"), ["book_id", "g"], threshold, most, sample)
+    return fine.select("book_id", "node_id", (F.col("g") * most + F.col("cluster")).cast("int").alias("cluster"))
 
 
 def summary_input(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -170,3 +217,36 @@ def node_texts(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Nodes with text: a leaf's is its chunk's."""
     joined = nodes.select("book_id", "node_id", "level", F.col("text").alias("own")).join(chunks.select("book_id", F.col("chunk_id").alias("node_id"), F.col("text").alias("chunk_text")), ["book_id", "node_id"], "left")
     return joined.select("book_id", "node_id", "level", F.coalesce("own", "chunk_text").alias("text"))
+
+
+def build_tree(leaves: DataFrame, summarise: Callable[[DataFrame, int], DataFrame], embed: Callable[[DataFrame], DataFrame], config: Indexing | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the summary trees of all books: nodes (book_id, node_id, level, text, embedding), edges (book_id,
+    parent_id, child_id). leaves: `leaf_nodes`. summarise adds `summary` to (book_id, node_id, text) at a level; embed adds
+    `embedding` to rows with text.
+
+    All books grow one level at a time. A book grows on while its level has more than `stop_nodes` nodes and the next one
+    would have fewer. Each level is written before the next begins."""
+    config = config or Indexing()
+    nodes = [cut(embed(leaves.select("book_id", "node_id", "level", F.coalesce("text", F.lit("")).alias("text"))), "level")]
+    edges: list[DataFrame] = []
+    current, level = nodes[0], 0
+    while True:
+        level += 1
+        growing = current.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > config.stop_nodes)
+        rows = cut(current.join(growing, "book_id"), "growing")
+        if rows.limit(1).count() == 0:
+            break
+        reduced = cut(reduce_dim(rows, config.reduced_dim), "reduced")
+        parents = cut(group_parents(two_stage_clusters(reduced, config.soft_threshold, config.max_clusters), level), "parents")
+        fewer = parents.groupBy("book_id").agg(F.countDistinct("parent_id").alias("m")).join(growing, "book_id").where("m < n").select("book_id")
+        found = cut(parents.join(fewer, "book_id", "left_semi"), "edges")
+        if found.limit(1).count() == 0:
+            break
+        edges.append(found)
+        texts = summary_input(found, rows)
+        named = found.select("book_id", F.col("parent_id").alias("node_id")).distinct().join(texts, ["book_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+        told = summarise(named, level).select("book_id", "node_id", F.lit(level).alias("level"), F.coalesce("summary", F.lit("")).alias("text"))
+        current = cut(embed(told), "level")
+        nodes.append(current)
+    empty = leaves.select("book_id", F.col("node_id").alias("parent_id"), F.col("node_id").alias("child_id")).limit(0)
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges) if edges else empty

@@ -6,7 +6,7 @@ from folioweave.plans import registry
 
 
 def _load() -> None:
-    from folioweave.plans import index_queries, retrieval_queries, text_queries  # noqa: F401  importing registers them
+    from folioweave.plans import index_queries, pipeline_queries, retrieval_queries, text_queries  # noqa: F401  importing registers them
 
 
 def queries() -> dict[str, registry.Query]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.config import Indexing
 from folioweave.functions import text as X
 from folioweave.functions import vectors as V
 from folioweave.operators import graph, postings, relations, search, tree, views
 from folioweave.operators.questions import LONGEST, question_entities, words_sql
 from folioweave.plans.registry import query
+from folioweave.prompts import RELATION, fill_sql
 from folioweave.session import table
 
 ROLLUP_SQL = ", lv AS (SELECT book_id, node_id, node_id AS chunk_id FROM nd WHERE level = 0 UNION SELECT te.book_id, te.parent_id, lv.chunk_id FROM lv JOIN te ON te.book_id = lv.book_id AND te.child_id = lv.node_id)"
@@ -37,18 +39,12 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     if name == "node_entities":
         return postings.node_entities(load(spark, d, "leaves"), load(spark, d, "mentions"))
     if name == "graph":
-        return graph.upsert(_normalised(stored("edges")), "ingested_at").drop("ingested_at")
+        return graph.upsert(graph.normalise_arrivals(stored("edges"), "ingested_at"), "ingested_at").drop("ingested_at")
     if name == "node_texts":
         return tree.node_texts(load(spark, d, "nodes"), load(spark, d, "chunks"))
     raise ValueError(name)
 
 
-def _normalised(arrived: DataFrame) -> DataFrame:
-    """Normalised triples with their arrival time, by which upserts are ordered."""
-    keyed = graph.normalise(arrived.withColumn("book_id", F.struct("book_id", "ingested_at")))
-    return keyed.select(F.col("book_id.book_id").alias("book_id"), "source", "relation", "target", "weight", "support_count", "chunk_ids", F.col("book_id.ingested_at").alias("ingested_at"))
-
-
 # tree
 
 
@@ -63,9 +59,9 @@ def tree_parents(spark: SparkSession, d: str) -> DataFrame:
     return edges.groupBy("book_id", F.col("parent_id").alias("node_id")).agg(F.countDistinct("child_id").alias("n_children"), F.array_join(F.array_sort(F.collect_set("child_id")), ",").alias("children"))
 
 
-@query(ROLLUP_SQL + " SELECT book_id, node_id, count(*) AS n_leaves, min(chunk_id) AS first_leaf, max(chunk_id) AS last_leaf FROM lv GROUP BY book_id, node_id", recursive=True)
+@query(ROLLUP_SQL + " SELECT book_id, node_id, chunk_id FROM lv", recursive=True)
 def tree_leaf_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "leaves").groupBy("book_id", "node_id").agg(F.count(F.lit(1)).alias("n_leaves"), F.min("chunk_id").alias("first_leaf"), F.max("chunk_id").alias("last_leaf"))
+    return load(spark, d, "leaves").select("book_id", "node_id", "chunk_id")
 
 
 @query("SELECT book_id, child_id AS node_id, count(*) AS n_parents, string_agg(DISTINCT parent_id, ',' ORDER BY parent_id) AS parents FROM te GROUP BY book_id, child_id")
@@ -88,16 +84,16 @@ def tree_summary_input(spark: SparkSession, d: str) -> DataFrame:
     return tree.summary_input(load(spark, d, "tree_edges"), load(spark, d, "node_texts")).select("book_id", "node_id", F.md5("text").alias("digest"))
 
 
-@query("WITH a AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: abs(x::DOUBLE)) AS a FROM embeddings), p AS (SELECT vec_id, list_transform(a, lambda x: round(x / list_sum(a), 6)) AS p FROM a WHERE list_sum(a) > 0), u AS (SELECT vec_id, unnest(range(len(p)))::INT AS cluster, unnest(p) AS x, list_max(p) AS top, list_position(p, list_max(p))::INT - 1 AS best FROM p) SELECT vec_id AS id, cluster FROM u WHERE x > 0.1 OR (top <= 0.1 AND cluster = best)", views=False)
+@query("WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings), p AS (SELECT vec_id, list_transform(a, lambda x: round(x / list_sum(a), 6)) AS p FROM a WHERE list_sum(a) > 0), u AS (SELECT vec_id, unnest(range(len(p)))::INT AS cluster, unnest(p) AS x, list_max(p) AS top, list_position(p, list_max(p))::INT - 1 AS best FROM p) SELECT vec_id AS id, cluster FROM u WHERE x > 0.1 OR (top <= 0.1 AND cluster = best)", views=False)
 def tree_soft_assign(spark: SparkSession, d: str) -> DataFrame:
-    sizes = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
+    sizes = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), sizes.alias("a")).withColumn("s", F.aggregate("a", F.lit(0.0), lambda s, x: s + x)).where("s > 0")
     return tree.soft_assign(rows.select("id", F.transform("a", lambda x: F.round(x / F.col("s"), 6)).alias("p")))
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return table(spark, d, "nodes").where(F.size("embedding") == 96).where(fine).select("node_key", "book_id", "node_id", "level", "embedding").dropDuplicates(["node_key"])
+    return table(spark, d, "nodes").where(F.size("embedding") == Indexing().vector_dim).where(fine).select("node_key", "book_id", "node_id", "level", "embedding").dropDuplicates(["node_key"])
 
 
 @query()
@@ -112,16 +108,16 @@ def tree_two_stage(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_bic(spark: SparkSession, d: str) -> DataFrame:
-    """The number of clusters of least BIC for each label's vectors, on their first coordinates."""
+    """The number of clusters of least BIC for each label's vectors, on the main axes of all."""
     import numpy as np
     import pandas as pd
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        k, _, scores = tree.choose_clusters(np.stack(rows["z"].to_numpy()), 8)
-        return pd.DataFrame({"label": [int(rows["label"].iloc[0])], "k": [k], "tried": [len(scores)]})
+        k, _, scores = tree.choose_clusters(np.stack(rows.sort_values("node_id")["z"].to_numpy()), Indexing().max_clusters)
+        return pd.DataFrame({"label": [int(rows["book_id"].iloc[0])], "k": [k], "tried": [len(scores)]})
 
-    rows = table(spark, d, "embeddings").select("label", F.slice(V.doubles(F.col("embedding")), 1, 5).alias("z"))
-    return rows.groupBy("label").applyInPandas(fit, "label int, k int, tried int")
+    rows = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("book_id"), F.col("vec_id").cast("string").alias("node_id"), "embedding")
+    return tree.reduce_dim(rows, Indexing().reduced_dim).groupBy("book_id").applyInPandas(fit, "label int, k int, tried int")
 
 
 # postings
@@ -178,7 +174,7 @@ def rel_eligible_chunks(spark: SparkSession, d: str) -> DataFrame:
     return relations.eligible_chunks(load(spark, d, "mentions"))
 
 
-@query(_EL + ", nm AS (SELECT book_id, chunk_id, string_agg(DISTINCT entity, ', ' ORDER BY entity) AS names FROM mn GROUP BY book_id, chunk_id) SELECT el.book_id, el.chunk_id, md5('Entities: ' || names || chr(10) || chr(10) || 'Text:' || chr(10) || substring(coalesce(text, ''), 1, 8000)) AS digest FROM el JOIN nm ON nm.book_id = el.book_id AND nm.chunk_id = el.chunk_id JOIN ck ON ck.book_id = el.book_id AND ck.chunk_id = el.chunk_id")
+@query(_EL + ", nm AS (SELECT book_id, chunk_id, string_agg(DISTINCT entity, ', ' ORDER BY entity) AS names FROM mn GROUP BY book_id, chunk_id) SELECT el.book_id, el.chunk_id, md5(" + fill_sql(RELATION, entities="names", text="substring(text, 1, 8000)") + ") AS digest FROM el JOIN nm ON nm.book_id = el.book_id AND nm.chunk_id = el.chunk_id JOIN ck ON ck.book_id = el.book_id AND ck.chunk_id = el.chunk_id")
 def rel_prompt(spark: SparkSession, d: str) -> DataFrame:
     mentions = load(spark, d, "mentions")
     return relations.prompts(relations.eligible_chunks(mentions), load(spark, d, "chunks"), mentions).select("book_id", "chunk_id", F.md5("prompt").alias("digest"))
@@ -225,9 +221,9 @@ def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     return relations.merge_edges(relations.dedup(_valid(spark, d))).withColumn("chunk_ids", F.array_join("chunk_ids", "|"))
 
 
-@query(_MERGED + " SELECT book_id, source, relation, target, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY weight DESC, source, relation, target)::INT AS place FROM me) u WHERE place <= 10")
+@query(_MERGED + " SELECT book_id, source, relation, target, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY weight DESC, source, relation, target)::BIGINT AS place FROM me) u")
 def edge_topk(spark: SparkSession, d: str) -> DataFrame:
-    return relations.strongest(relations.merge_edges(relations.dedup(_valid(spark, d))), 10).select("book_id", "source", "relation", "target", "weight", "place")
+    return relations.by_weight(relations.merge_edges(relations.dedup(_valid(spark, d)))).select("book_id", "source", "relation", "target", "weight", "place")
 
 
 # graph
@@ -295,10 +291,10 @@ def gra_shortest_path(spark: SparkSession, d: str) -> DataFrame:
 # vectors
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings", views=False)
+@query("SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, round(unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS value FROM embeddings", views=False)
 def vec_normalize(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return rows.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("length"), F.round(V.unit(F.col("embedding"))[0], 6).alias("first"))
+    return rows.select("vec_id", F.posexplode(V.unit(F.col("embedding"))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("value"))
 
 
 @query("WITH c AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cos FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id) SELECT qid, id, cos, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS place FROM c) u WHERE place <= 25", views=False)
@@ -309,7 +305,7 @@ def vec_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(asked, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 25, exclude_self=True)
 
 
-_FINE = "len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_FINE = f"len(embedding) = {Indexing().vector_dim} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 
 @query(f"WITH n AS (SELECT DISTINCT ON (node_key) node_key, embedding::DOUBLE[] AS v FROM nodes WHERE {_FINE}), c AS (SELECT q.node_key AS qid, e.node_key AS id, round(list_cosine_similarity(q.v, e.v), 6) AS cos FROM n q JOIN n e ON q.node_key % 20 = 0 AND q.node_key <> e.node_key) SELECT qid, id, cos, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS place FROM c) u WHERE place <= 10", views=False)

@@ -14,8 +14,7 @@ from folioweave.plans.index_queries import BFS_SQL, NODE_ENTITY_SQL, load
 from folioweave.plans.registry import query
 from folioweave.session import cut, table
 
-#: The cap of chunks is low here so that tightening happens on the test tables.
-C1 = Adaptive(max_chunks=5, dense_pool=20)
+C1 = Adaptive()
 C2 = Region()
 
 # C1
@@ -136,10 +135,18 @@ def c1_occurrence_rank(spark: SparkSession, d: str) -> DataFrame:
     return _joined(adaptive.occurrence(_pool(spark, d)[1], C1.max_chunks)).select("qid", "node_id", "key", "place")
 
 
-@query(_POOL_SQL + f" SELECT qid, node_id, CASE WHEN len(key) > 0 THEN array_to_string(key, '_') ELSE 'unknown' END AS key, rk::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(key) DESC, node_id) AS rk FROM ap) w WHERE rk <= {C1.max_chunks}", recursive=True)
+@query(
+    _POOL_SQL
+    + f""", kx AS (SELECT qid, node_id, len(key) AS overlap, unnest(CASE WHEN len(key) > 0 THEN list_prepend(key, list_transform(key, lambda e: [e])) ELSE [key] END) AS key FROM ap),
+kt AS (SELECT qid, node_id, key FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(key) DESC, overlap DESC, node_id, array_to_string(key, '_')) AS rk FROM (SELECT DISTINCT * FROM kx) u) w WHERE rk <= {C1.max_chunks})
+SELECT qid, node_id, CASE WHEN len(flatten(list(key))) > 0 THEN array_to_string(list_sort(list_distinct(flatten(list(key)))), '_') ELSE 'unknown' END AS key FROM kt GROUP BY qid, node_id""",
+    recursive=True,
+)
 def c1_entityaware(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pool(spark, d)[1].select("qid", "node_id", F.col("entity_list").alias("key"), "overlap")
-    return adaptive.entity_aware(rows, C1.max_chunks)
+    """Each node under all of its entities and under each single one, so that keys of one node have to be merged."""
+    pool = _pool(spark, d)[1]
+    every = F.when(F.size("entity_list") > 0, F.array_prepend(F.transform("entity_list", lambda e: F.array(e)), F.col("entity_list"))).otherwise(F.array("entity_list"))
+    return adaptive.entity_aware(pool.select("qid", "node_id", "overlap", F.explode(every).alias("key")).distinct(), C1.max_chunks)
 
 
 @query(EVIDENCE_SQL + " SELECT qid, mode, history, count(*) AS n_chunks, string_agg(node_id, ',' ORDER BY place, node_id) AS chunk_ids FROM ev GROUP BY qid, mode, history", recursive=True)
@@ -254,45 +261,44 @@ def c2_result(spark: SparkSession, d: str) -> DataFrame:
 
 # scores
 
-_SCORED = f", sc AS (SELECT qid, pipeline, split_part(book_id, '_', 1) AS dataset, ({X.Sql.standardise("coalesce(prediction, 'Z')")} = {X.Sql.standardise("coalesce(truth, '')")})::INT::DOUBLE AS em FROM (SELECT *, CASE WHEN split_part(book_id, '_', 1) IN ('InfiniteChoice', 'NovelQA') THEN ground_truth ELSE coalesce(gt, ground_truth) END AS truth FROM (SELECT qa.*, p.gt FROM qa JOIN (SELECT DISTINCT ON (pred_id) pred_id, ground_truth_text AS gt FROM predictions) p ON p.pred_id = qid) v) u)"
+_LCS = "coalesce(list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda w: list_transform(b, lambda y: (y = w)::INT))), lambda acc, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN m[i] = 1 THEN (CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END) + 1 ELSE acc[i] END))))[-1], 0)"
+_SCORED = f""", s0 AS (SELECT qid, pipeline, split_part(book_id, '_', 1) AS dataset, {X.Sql.standardise("coalesce(prediction, 'Z')")} AS p, {X.Sql.standardise("coalesce(ground_truth, '')")} AS t FROM qa),
+s1 AS (SELECT *, (p = t)::INT::DOUBLE AS em, {X.Sql.words("p")} AS a, {X.Sql.words("t")} AS b FROM s0),
+s2 AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(2.0 * {_LCS} / (len(a) + len(b)), 4) END AS f FROM s1),
+sc AS MATERIALIZED (SELECT qid, pipeline, dataset, em, CASE WHEN dataset = 'InfiniteChoice' THEN em ELSE f END AS rl FROM s2)"""
 
 
-def _once(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions").dropDuplicates(["pred_id"])
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.scored(table(spark, d, "predictions").dropDuplicates(["pred_id"]))
 
 
 @query(_SCORED + " SELECT qid, em FROM sc")
 def met_em(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d)
-    dataset = F.split("book_id", "_")[0]
-    truth = F.when(dataset.isin(*metrics.CHOICE), F.col("ground_truth")).otherwise(F.coalesce("ground_truth_text", "ground_truth"))
-    return rows.select(F.col("pred_id").alias("qid"), metrics.exact_match(F.col("prediction"), truth).alias("em"))
+    return _scored(spark, d).select(F.col("pred_id").alias("qid"), "em")
 
 
-@query(_SCORED + " SELECT dataset, count(*) AS n, round(avg(em), 6) AS em FROM sc GROUP BY dataset")
+@query(_SCORED + " SELECT qid, rl FROM sc")
+def met_rouge_l(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select(F.col("pred_id").alias("qid"), "rl")
+
+
+@query(_SCORED + " SELECT dataset, count(*) AS n, round(avg(em), 6) AS em, round(avg(rl), 6) AS rl FROM sc GROUP BY dataset")
 def met_by_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.averages(metrics.scored(_once(spark, d)), "dataset").select("dataset", "n", "em")
+    return metrics.averages(_scored(spark, d), "dataset")
 
 
-@query(_SCORED + " SELECT count(*) AS n, coalesce(round(avg(em), 6), 0.0) AS em FROM sc")
+@query(_SCORED + " SELECT count(*) AS n, coalesce(round(avg(em), 6), 0.0) AS em, coalesce(round(avg(rl), 6), 0.0) AS rl FROM sc")
 def met_overall(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.averages(metrics.scored(_once(spark, d))).select("n", "em")
+    return metrics.averages(_scored(spark, d))
 
 
-@query(_SCORED + " SELECT coalesce(pipeline, 'all') AS pipeline, count(*) AS n, round(avg(em), 6) AS em FROM sc GROUP BY GROUPING SETS ((pipeline), ())")
+@query(_SCORED + " SELECT coalesce(pipeline, 'all') AS pipeline, count(*) AS n, round(avg(em), 6) AS em, round(avg(rl), 6) AS rl FROM sc GROUP BY GROUPING SETS ((pipeline), ())")
 def met_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.by_pipeline(metrics.scored(_once(spark, d)))
+    return metrics.by_pipeline(_scored(spark, d))
 
 
 @query(f", us AS (SELECT book_id, len({X.Sql.words('question')}) AS p, len({X.Sql.words("coalesce(raw_llm_output, '')")}) AS c FROM qa) SELECT book_id, count(*) AS calls, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens FROM us GROUP BY book_id")
 def met_token_usage(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d)
+    rows = table(spark, d, "predictions").dropDuplicates(["pred_id"])
     usage = rows.select("book_id", F.size(X.words(F.col("question"))).cast("bigint").alias("prompt_tokens"), F.size(X.words(F.coalesce("raw_llm_output", F.lit("")))).cast("bigint").alias("completion_tokens"))
     return metrics.token_usage(usage)
-
-
-@query()
-def met_rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    rows = _once(spark, d)
-    truth = F.when(F.coalesce("ground_truth_text", F.lit("")) != "", F.col("ground_truth_text")).otherwise(F.col("ground_truth"))
-    return rows.select(F.col("pred_id").alias("qid"), metrics.rouge_l(F.col("prediction"), truth).alias("rl"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioweave import schemas
+from folioweave.operators.ranking import placed
+from folioweave.session import cut
 
 LETTERS = ("A", "B", "C", "D")
 
@@ -44,17 +46,22 @@ def answer_letter(options: Column, answer: Column, first: Column | None = None)
 def number_books(lines: DataFrame, context: str, order: str) -> DataFrame:
     """(digest, book_no): the distinct contexts in the order of their first line, from 0. Contexts are compared by digest,
     so their texts are neither shuffled nor sorted; the numbering runs over one row a book."""
-    firsts = lines.groupBy(F.sha2(F.col(context), 256).alias("digest")).agg(F.min(order).alias("first"))
-    return firsts.select("digest", (F.row_number().over(Window.orderBy("first")) - 1).alias("book_no"))
+    return _numbered(lines.select(F.sha2(F.col(context), 256).alias("digest"), order), order)
+
+
+def _numbered(lines: DataFrame, order: str) -> DataFrame:
+    firsts = lines.groupBy("digest").agg(F.min(order).alias("first"))
+    return placed(firsts, [], [F.col("first"), F.col("digest")]).select("digest", (F.col("place") - 1).alias("book_no"))
 
 
 def infinite_choice(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(books, qa) of a multiple-choice benchmark file; questions whose answer is none of the options are dropped."""
     lines = read_lines(spark, path).withColumn("digest", F.sha2("context", 256))
-    numbers = number_books(lines, "context", "line_no")
-    placed = lines.join(numbers, "digest").withColumn("book_id", F.col("book_no").cast("string"))
-    books = placed.groupBy("book_id").agg(F.first("context").alias("book_text"))
-    lettered = placed.withColumn("answer", answer_letter(F.col("options"), variant_text(F.col("answer")))).where("answer IS NOT NULL")
+    questions = cut(lines.drop("context"), "lines")  # without the text of their book, which every line repeats
+    numbers = _numbered(questions, "line_no").select("digest", F.col("book_no").cast("string").alias("book_id"), "book_no")
+    firsts = questions.groupBy("digest").agg(F.min("line_no").alias("line_no"))
+    books = lines.select("line_no", "context").join(firsts.join(numbers, "digest"), "line_no").select("book_id", F.col("context").alias("book_text"))  # one line a book
+    lettered = questions.join(numbers, "digest").withColumn("answer", answer_letter(F.col("options"), variant_text(F.col("answer")))).where("answer IS NOT NULL")
     qid = F.row_number().over(Window.partitionBy("book_id").orderBy("line_no")) - 1
     return books, lettered.select("book_id", qid.alias("question_id"), F.col("input").alias("question"), "options", "answer")
 
@@ -108,7 +115,7 @@ def load(spark: SparkSession, dataset: str, path: str) -> tuple[DataFrame, DataF
 def in_order(books: DataFrame, column: str = "book_id") -> DataFrame:
     """Ids with their place: numeric ids by number, before all others by text."""
     number = F.expr(f"try_cast({column} AS int)")
-    return books.select(column).distinct().withColumn("place", F.row_number().over(Window.orderBy(number.asc_nulls_last(), column)))  # one row a book
+    return placed(books.select(column).distinct(), [], [number.asc_nulls_last(), F.col(column)])
 
 
 def run_range(rows: DataFrame, mode: str, start: int = 0, end: int = 0, column: str = "book_no") -> DataFrame:

@@ -14,9 +14,11 @@ from folioweave.operators import graph
 
 
 def write_table(df: DataFrame, root: str, name: str, by_book: bool = True) -> str:
-    """A table by book under root/name; books in df replace their stored ones, all others stay."""
+    """A table by book under root/name; books in df replace their stored ones, all others stay. Rows go to tasks by ranges
+    of book and a hash of the row, so that a book with most rows is written by several tasks and a small one by one."""
     path = f"{root}/{name}"
-    rows = df.repartition("book_id") if by_book else df
+    plain = [c for c, kind in df.dtypes if c != "book_id" and "map<" not in kind and kind != "variant"]
+    rows = df.repartitionByRange("book_id", F.xxhash64(*plain) if plain else F.lit(0)) if by_book else df
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy("book_id") if by_book else writer).parquet(path)
     return path

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioweave.operators import graph
+from folioweave.session import cut
 
 
 def read_arrivals(spark: SparkSession, path: str, schema, per_trigger: int = 16) -> DataFrame:
@@ -24,24 +26,21 @@ def arrivals_per_window(arrivals: DataFrame, time: str = "ingested_at", length:
     return arrivals.withWatermark(time, delay).groupBy(F.window(time, length)).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("book_id").alias("books")).select(F.col("window.start").alias("start"), "n", "books")
 
 
-def merge_edge_stream(arrivals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def merge_edge_stream(arrivals: DataFrame, path: str, checkpoint: str, time: str = "ingested_at") -> StreamingQuery:
     """Keeps an edge table up to date: each batch is normalised and upserted into the books it touches. A batch that is
-    repeated after a failure gives the same table, as the upsert keeps one row a triple."""
+    repeated after a failure gives the same table: of a triple's rows, stored or new, the one of the latest `time` stays."""
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = graph.normalise(batch).join(batch.select("book_id").distinct(), "book_id", "left_semi").withColumn("seen", F.lit(1))
+        columns = ["book_id", "source", "relation", "target", "weight", "support_count", "chunk_ids", time]
+        rows = graph.normalise_arrivals(batch, time).select(*columns)
         try:
-            touched = batch.select("book_id").distinct()
-            stored = spark.read.parquet(path).join(touched, "book_id", "left_semi").withColumn("seen", F.lit(0))
-            rows = graph.upsert(stored.select(*new.columns).unionByName(new), "seen")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
+            stored = spark.read.parquet(path).join(batch.select("book_id").distinct(), "book_id", "left_semi")
+            rows = rows.unionByName(stored.select(*columns))
+        except AnalysisException as error:  # the first batch finds no table
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = graph.upsert(new, "seen")
-        staged = rows.drop("seen").persist()
-        staged.count()
+        staged = cut(graph.upsert(rows, time), "merged")  # whole in the shared folder before any stored file is replaced
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
-        staged.unpersist()
 
     return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
