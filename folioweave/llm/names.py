@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,7 +111,8 @@ TITLES = frozenset("mr mrs ms miss mister dr doctor prof professor sir lord lady
 ENDINGS = frozenset("esq esquire phd md ma ba jr junior sr senior ii iii".split())
 PARTICLES = frozenset("mac mc von van de du del della der den la le da di dos o".split())
 
-# Words of organisations and places, each with its short forms, and words that carry nothing.
+# Usual words of organisations and places with short forms of their own, and words that carry nothing. Other
+# words of this sort are learned from the names: see `common_kinds`.
 KINDS = """
 society: soc
 company: co coy
@@ -137,30 +139,17 @@ hospital: hosp
 corporation: corp
 committee: cttee
 government: govt
-steam:
-rowing:
-club:
-lamplighters:
-survey:
-sons:
-weavers:
-assurance:
 insurance: ins
 royal: ryl
-fishermens:
-lamp:
 office: off
 union: un
 guild: gld
 works: wks
-abbey:
 bridge: br
 street: str
 road: rd
 lake: lk
-cape:
 river: riv
-water:
 church: ch
 college: coll
 saint:
@@ -241,22 +230,31 @@ def _shape(word: str) -> str:
     return word.replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("ll", "u").replace("li", "u").replace("i", "l").replace("c", "e")
 
 
+#: Jaro-Winkler similarity from which two words of seven letters and more are spellings of one, and below which none are.
+#: Between the two, and for shorter words, of which many are alike, edits decide.
+SURE, LEAST = 0.9, 0.85
+
+
 @lru_cache(maxsize=200_000)
 def same_word(a: str, b: str) -> bool:
-    """Whether two surnames or core words are spellings of one: near by Jaro-Winkler and by edits for their length."""
+    """Whether two surnames or core words are spellings of one by Jaro-Winkler, as they are or after the usual confusions
+    of scans. Words of more than LONGEST letters are so only if they are equal after those."""
     if a == b:
         return True
     short = min(len(a), len(b))
     if short < 4:
         return False
-    most = 1 if short < 7 else 2
-    if abs(len(a) - len(b)) > most:
-        return False
     x, y = _shape(a), _shape(b)
     if x == y:
         return True
-    if jaro_winkler(a, b) < 0.85 and jaro_winkler(x, y) < 0.85:
+    if max(len(a), len(b)) > LONGEST or abs(len(a) - len(b)) > 3:
+        return False
+    near = max(jaro_winkler(a, b), jaro_winkler(x, y))
+    if near < LEAST:
         return False
+    if near >= SURE and short >= 7:
+        return True
+    most = 1 if short < 7 else 2
     return distance(a, b, most) <= most or (short >= 7 and distance(x, y, 1) <= 1)
 
 
@@ -319,41 +317,65 @@ def _given(token: str) -> bool:
 
 
 @lru_cache(maxsize=100_000)
-def _kind(token: str) -> str | None:
+def _kind(token: str, learned: frozenset[str]) -> str | None:
     word = token.rstrip(".")
     if word in KIND:
         return KIND[word]
+    if word in learned:
+        return word
     if len(word) >= 5:
-        return next((k for k in LONG_KINDS if word[0] == k[0] and distance(word, k, 1) <= 1 or len(word) > 7 and distance(word, k, 2) <= 2), None)
+        return next((k for k in (*LONG_KINDS, *sorted(learned)) if abs(len(k) - len(word)) < 3 and len(k) >= 5 and (word[0] == k[0] and distance(word, k, 1) <= 1 or len(word) > 7 and distance(word, k, 2) <= 2)), None)
     return None
 
 
+#: A word is a kind if names of so many books, and such a share of all books, have it: surnames belong to few.
+KIND_BOOKS, KIND_SHARE = 3, 0.05
+
+
+def common_kinds(names: DataFrame) -> frozenset[str]:
+    """The words of at least four letters that are in names of many books and are no given name, title or the like. At
+    most 1 / KIND_SHARE times the words of a mean book, so they fit the driver."""
+    words = names.select("book_id", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}'’]+"))).alias("word")).where(F.length("word") >= 4).distinct()
+    books = names.agg(F.countDistinct("book_id")).first()[0]
+    found = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= KIND_BOOKS) & (F.col("n") >= KIND_SHARE * books)).select("word").collect()
+    known = set(GIVEN) | TITLES | ENDINGS | PARTICLES | EMPTY | set(SIDES) | set(KIND)
+    return frozenset(w for w in (tidy(r.word) for r in found) if len(w) >= 4 and w.isalpha() and w not in known)
+
+
 def tidy(name: str) -> str:
     """Lower case without accents, digits read as the letters they stand for, possessives and outer punctuation."""
     if any(c.islower() for c in name[:-1]):  # a capital inside a word is a misread double l
         name = re.sub(r"(?<=[a-z])U(?=[a-z])", "ll", name)
     text = unicodedata.normalize("NFKD", name).lower()
     text = "".join(c for c in text if not unicodedata.combining(c)).replace("ø", "o").replace("ß", "ss").replace("ł", "l").replace("æ", "ae")
+    text = unicodedata.normalize("NFC", text).translate(_CYRILLIC)
     text = re.sub(r"[’‘`´]", "'", text)
-    text = re.sub(r"\s+", " ", text).strip(" \"“”;:!?*()[]")
+    text = re.sub(r"\s+", " ", text).strip(" \"“”;:!?*()[]。，、！？；：「」")
     text = re.sub(r"'s?$", "", text)
     return re.sub(r"(?<=[a-z])[0-9$|]+|[0-9$|]+(?=[a-z])", lambda m: m[0].translate(_OCR), text)
 
 
-#: Longer texts are no names; they are compared as they are, after tidying.
+#: Names of more characters are compared by all of their tokens in order, as no surname or kind can be told in them; what
+#: this needs grows with their length, not with its square.
 LONGEST = 200
 
-#: Forms: a full person, an initial and surname, one bare word, an organisation or place, an acronym, nothing.
-PERSON, INITIAL, WORD, GROUP, ACRONYM, NONE = "P", "I", "W", "G", "A", "N"
+# Letters of the Russian alphabet as they are usually written in Latin ones.
+_CYRILLIC = str.maketrans({c: x for c, x in zip("абвгдезийклмнопрстуфхыэё", "abvgdeziyklmnoprstufhyee")} | {"ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""})
 
+#: Forms: a full person, an initial and surname, one bare word, an organisation or place, an acronym, a long text, nothing.
+PERSON, INITIAL, WORD, GROUP, ACRONYM, LONG, NONE = "P", "I", "W", "G", "A", "L", "N"
 
-def parse(name: str) -> tuple[str, str, str, str]:
+
+def parse(name: str, learned: frozenset[str] = frozenset()) -> tuple[str, str, str, str]:
     """(form, first, rest, extra) of a name. Person: roots of the given name, surname. Initial: letter, surname. Word: the
-    word. Group: its kind words, its core words, its side. Acronym: its letters."""
+    word. Group: its kind words, its core words, its side. Acronym: its letters. Long: its tokens in the order of their
+    codes. Nothing: a name without letters, as it is. learned: kind words besides the usual ones."""
     text = tidy(name)
-    letters = re.sub(r"[^a-z]", "", text)
-    if not letters or len(text) > LONGEST:
+    letters = "".join(filter(str.isalpha, text))
+    if not letters:
         return NONE, "", text or name, ""
+    if len(text) > LONGEST:
+        return LONG, "", " ".join(sorted(re.findall(r"[^\W_]+", text), key=lambda w: (phonetic(w), w))), ""
     if re.fullmatch(r"(?:[a-z]\.){2,7}[a-z]?\.?", text):
         return ACRONYM, "", letters, ""
     text = text.replace("co-op ", "coop ").replace("co-op.", "coop.")
@@ -381,7 +403,7 @@ def parse(name: str) -> tuple[str, str, str, str]:
             continue
         if i in saint:
             kinds.append("street" if i == len(bare) - 1 and i else "saint")
-        elif (k := _kind(t)) and not (len(bare) == 2 and i == 0 and len(b) < 3 and b not in ("mt", "ft", "pt", "lk")):
+        elif (k := _kind(t, learned)) and not (len(bare) == 2 and i == 0 and len(b) < 3 and b not in ("mt", "ft", "pt", "lk")):
             kinds.append(k)
         elif i == 0 and b in SIDES and len(bare) > 1:
             side = SIDES[b]
@@ -423,6 +445,9 @@ def parse(name: str) -> tuple[str, str, str, str]:
     return PERSON, " ".join(sorted(roots(first))), surname, ""
 
 
+#: Names of a block that one salt holds.
+CROWDED = 1000
+
 _PARSED = "book_id string, name string, form string, first string, rest string, extra string, id string, keys array<string>"
 
 
@@ -432,6 +457,9 @@ def keys_of(form: str, first: str, rest: str, extra: str) -> set[str]:
         return {f"#{rest}"}
     if form == NONE:
         return set()
+    if form == LONG:  # the codes of all tokens, and those without each one, as sums of their hashes
+        codes = [zlib.crc32((phonetic(w) or w).encode("utf-8", "replace")) for w in words]
+        return {f"%{sum(codes)}", *(f"%{sum(codes) - c}" for c in codes)}
     keys = set().union(*(block_keys(w) for w in words))
     if form == PERSON:
         keys |= {f"{at}{rest[:1]}" for r in first.split(" ") for at in (f"@{r}", f"^{r[:1]}")}
@@ -448,12 +476,12 @@ def keys_of(form: str, first: str, rest: str, extra: str) -> set[str]:
     return keys
 
 
-def _parsed(names: DataFrame) -> DataFrame:
+def _parsed(names: DataFrame, learned: frozenset[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for book, name in rows.itertuples(index=False):
-                form, first, rest, extra = parse(name)
+                form, first, rest, extra = parse(name, learned)
                 keys = keys_of(form, first, rest, extra)
                 if form in (ACRONYM, WORD) and len(rest) <= 7:
                     keys.add("#" + "".join(sorted(rest)))
@@ -476,9 +504,12 @@ def _acronym_of(letters: str, kinds: str, core: str, side: str) -> bool:
 def compare(x: tuple[str, str, str, str], y: tuple[str, str, str, str]) -> str:
     """'same' if two names of one book are the same entity by themselves; 'may' if the one, an initial, a bare word or an
     acronym, could stand for the other; '' if neither."""
-    if "PIGWA".index(x[0]) > "PIGWA".index(y[0]):
+    if "PIGWALN".index(x[0]) > "PIGWALN".index(y[0]):
         x, y = y, x
     (f, a, s, e), (g, b, t, h) = x, y
+    if LONG in (f, g):
+        p, q = s.split(" "), t.split(" ")
+        return "same" if f == g and len(p) == len(q) and all(same_word(v, w) for v, w in zip(p, q)) else ""
     if f == g == PERSON:
         if not same_word(s, t):
             return ""
@@ -522,23 +553,24 @@ def _compared(pairs: DataFrame) -> DataFrame:
 
 def link_names(names: DataFrame) -> DataFrame:
     """(book_id, name, entity) of each distinct (book_id, name): names of one entity have the same `entity`, the smallest
-    parsed form in it. Rows with a null book or name are left out; blank names, names without Latin letters and texts of more
-    than LONGEST characters are only alike after tidying (case, white space, outer punctuation); repeated rows count once; no rows give none. Extra columns are ignored.
+    parsed form in it. Rows with a null book or name are left out; names without any letter are only alike after tidying
+    (case, white space, outer punctuation); names in other scripts are compared by their letters, Russian ones as written in
+    Latin; names of more than LONGEST characters by all of their tokens. Repeated rows count once; no rows give none. Extra
+    columns are ignored.
 
     Names that parse alike are one row from the blocking on. A block is the pairs of one book with a common phonetic key;
-    the pairs come from a join and are compared in batches, so no block is held in one place.
+    the pairs come from a join and are compared in batches, so no block is held in one place. One side of a crowded block
+    is spread over salts and the other repeated for each, so that no task has a whole one.
     """
-    distinct = names.where(F.col("book_id").isNotNull() & F.col("name").isNotNull()).select("book_id", "name").distinct()
-    parsed = cut(_parsed(distinct), "parsed")
+    distinct = cut(names.where(F.col("book_id").isNotNull() & F.col("name").isNotNull()).select("book_id", "name").distinct(), "names")
+    parsed = cut(_parsed(distinct, common_kinds(distinct)), "parsed")
     forms = parsed.groupBy("book_id", "id").agg(F.first("keys").alias("keys"))
-    keyed = forms.select("book_id", "id", F.explode("keys").alias("key"))
-    pairs = (
-        keyed.select("book_id", "key", F.col("id").alias("a"))
-        .join(keyed.select("book_id", "key", F.col("id").alias("b")), ["book_id", "key"])
-        .where("a < b")
-        .select("book_id", "a", "b")
-        .distinct()
-    )
+    keyed = cut(forms.select("book_id", "id", F.explode("keys").alias("key")), "keyed")
+    crowded = cut(keyed.groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("book_id", "key", F.ceil(F.col("n") / CROWDED).cast("int").alias("salts")), "crowded")
+    salted = keyed.join(crowded, ["book_id", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    one = salted.select("book_id", "key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"))
+    two = salted.select("book_id", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"))
+    pairs = one.join(two, ["book_id", "key", "salt"]).where("a < b").select("book_id", "a", "b").distinct()
     verdicts = cut(_compared(pairs), "verdicts")
     node = lambda c: F.concat_ws("\x02", "book_id", c)
     same = verdicts.where("verdict = 'same'").select(node("a").alias("a"), node("b").alias("b"))

@@ -1,6 +1,6 @@
 import pytest
 
-from folioweave.llm.names import block_keys, compare, distance, jaro_winkler, keys_of, link_names, parse, same_word, variant_pairs
+from folioweave.llm.names import block_keys, common_kinds, compare, distance, jaro_winkler, keys_of, link_names, parse, same_word, variant_pairs
 
 SAME = [
     ("elizabeth thornbury", "Elizabeth  Thornbury"), ("elizabeth thornbury", "thornbury, elizabeth"), ("elizabeth thornbury", "liz thornbury"), ("elizabeth thornbury", "mrs. elizabeth thornbury"),
@@ -68,3 +68,34 @@ def test_no_names(spark):
 def test_names_with_few_consonants_meet(a, b):
     x, y = parse(a), parse(b)
     assert compare(x, y) and keys_of(*x) & keys_of(*y)
+
+
+@pytest.mark.parametrize("a, b, alike", [("Анна Ветрова", "анна  ветрова", True), ("анна ветрова", "Анна Ветррова", True), ("иван ветров", "анна ветрова", False), ("莉莉", "莉莉。", True), ("莉莉", "茉莉", False)])
+def test_other_scripts(a, b, alike):
+    x, y = parse(a), parse(b)
+    assert (x == y or compare(x, y) == "same" and bool(keys_of(*x) & keys_of(*y))) == alike
+
+
+def test_long_names_are_compared_by_all_tokens():
+    words = [f"{c}{'aeiou'[i % 5]}rnthwick{d}" for i, (c, d) in enumerate(zip("bcdfghjklmnpqrstvwxz" * 2, "abcdefghijklmnopqrstuvwxyzabcdefghijklmn"))]
+    long, wrong, other = " ".join(words), " ".join(words[::-1]).replace("rnthwick", "rntwhick", 1), " ".join(words[:-1] + ["something"])
+    x, y, z = parse(long), parse(wrong), parse(other)
+    assert x[0] == "L" and compare(x, y) == "same" and keys_of(*x) & keys_of(*y)
+    assert compare(x, z) == "" and compare(x, parse("bernthwick")) == ""
+
+
+def test_kinds_are_learned_from_many_books(spark):
+    rows = [(f"b{i}", f"{core} tramwaymen") for i, core in enumerate(("holvane", "merrick", "soldane", "parrow"))] + [("b0", "anna holvane"), ("b1", "anna merrick"), ("b2", "anna soldane"), ("b0", None)]
+    frame = spark.createDataFrame(rows, "book_id string, name string").where("name IS NOT NULL")
+    assert common_kinds(frame) == frozenset({"tramwaymen"})
+    assert parse("holvane tramwaymen", frozenset({"tramwaymen"}))[:3] == ("G", "tramwaymen", "holvane")
+    assert common_kinds(frame.limit(0)) == frozenset()
+
+
+def test_a_crowded_block_links_as_others(spark, monkeypatch):
+    import folioweave.llm.names as module
+
+    frame = spark.createDataFrame([("b", f"{x} thornbury") for x in ("anna", "annie", "a.", "clara", "clarra", "dr.", "nan", "edwin")], "book_id string, name string")
+    right = {tuple(r) for r in link_names(frame).collect()}
+    monkeypatch.setattr(module, "CROWDED", 2)
+    assert {tuple(r) for r in link_names(frame).collect()} == right
