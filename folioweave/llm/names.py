@@ -153,6 +153,8 @@ river: riv
 church: ch
 college: coll
 saint:
+abbey:
+cape:
 """
 SIDES = {"north": "north", "south": "south", "east": "east", "west": "west", "n": "north", "s": "south", "e": "east", "w": "west", "upper": "upper", "lower": "lower", "new": "new", "old": "old", "great": "great", "little": "little"}
 EMPTY = frozenset("the of and & on a at in for".split())
@@ -333,11 +335,14 @@ KIND_BOOKS, KIND_SHARE = 3, 0.05
 
 
 def common_kinds(names: DataFrame) -> frozenset[str]:
-    """The words of at least four letters that are in names of many books and are no given name, title or the like. At
-    most 1 / KIND_SHARE times the words of a mean book, so they fit the driver."""
-    words = names.select("book_id", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}'’]+"))).alias("word")).where(F.length("word") >= 4).distinct()
+    """The words of at least four letters that are in names of many books, stand behind another word in half of them at
+    least, as given names do not, and are no title or the like. At most 1 / KIND_SHARE times the words of a mean book, so
+    they fit the driver."""
+    words = names.select("book_id", F.posexplode(F.filter(F.split(F.lower("name"), r"[^\p{L}'’]+"), lambda w: w != "")).alias("pos", "word")).where(F.length("word") >= 4)
+    by_book = words.groupBy("word", "book_id").agg(F.sum((F.col("pos") > 0).cast("int")).alias("behind"), F.count(F.lit(1)).alias("times"))
     books = names.agg(F.countDistinct("book_id")).first()[0]
-    found = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= KIND_BOOKS) & (F.col("n") >= KIND_SHARE * books)).select("word").collect()
+    counted = by_book.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("behind").alias("behind"), F.sum("times").alias("times"))
+    found = counted.where((F.col("n") >= KIND_BOOKS) & (F.col("n") >= KIND_SHARE * books) & (2 * F.col("behind") >= F.col("times"))).select("word").collect()
     known = set(GIVEN) | TITLES | ENDINGS | PARTICLES | EMPTY | set(SIDES) | set(KIND)
     return frozenset(w for w in (tidy(r.word) for r in found) if len(w) >= 4 and w.isalpha() and w not in known)
 
