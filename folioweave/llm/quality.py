@@ -1,20 +1,21 @@
 """Text quality statistics of each document, its outlier score, and its kind: prose, list, table or junk.
 
 The statistics are ranked exactly within each language by range-partitioned sorting with partition offsets; the two tail
-probabilities that the ranks give are combined over the statistics into one outlier score a document. The kind follows
-from the statistics; where they leave a document near the border to junk, its outlier score decides.
+probabilities that the ranks give are combined over the statistics into outlier scores. The scores give the candidates of
+each kind; an exact check by the kind's definition follows, and near the border to junk the outlier score decides again.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -28,18 +29,28 @@ _MARK = re.compile(r"^(?:[-*•·→▪◦‣–—+>]|\(?(?:\d{1,4}|[a-zA-Z]|[i
 _ENDS = re.compile(r"[.!?…。！？][\"'”’»“」』)\]*_]*$|[.!?。！？]\s*[”»“]\s*\S{0,3}$")
 _SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TAG = re.compile(r"<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};|&#\d+;")
+_TAG = re.compile(r"<[^<>\n]+>|&[a-zA-Z]{2,8};|&#\d+;")
 _RULE = re.compile(r"^[\s|+\-=:_]+$")
 _CJK = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _DIGIT = re.compile(r"\d")
 _FORMAT = regex.compile(r"\p{Cf}+")
 _PARTS = re.compile(r"[\s,;|]+")
+_CLAUSE = re.compile(r"[;:；：]")
 _BULLET = re.compile(r"[-+*•→–—·=▪◦‣:]+")
-_FORM = re.compile(r"[a-z]+[0-9]+[a-z0-9]*|[0-9]+[a-z]+[0-9a-z]*|\w+[=]\S+|0x\w+|\d\d:\d\d:\d\d|[\w.]+/[\w./]+", re.I)
+_FORM = re.compile(r"[a-z][0-9]|[0-9][a-z]|\w=\S|\d\d:\d\d:\d\d|[\w.]/[\w./]", re.I)
 
 #: Statistics that are ranked within a language, each a number for every document that has text.
 RANKED = ("n_words", "mean_word", "symbol_ratio", "digit_ratio", "end_share", "common_share", "short_line_share", "odd_word_share", "repeat_share", "compression", "unpunctuated")
+#: The statistics whose upper tails speak for a kind. Those of FALLING do so the lower they are; they are ranked negated.
+KIND_STATISTICS = {
+    "table": ("table_share",), "list": ("list_share",),
+    "junk": ("odd_word_share", "top_share", "repeat_share", "form_share", "markup_share", "single_share", "unpunctuated", "letters"),
+}
+FALLING = ("letters",)
+SPEAKING = tuple(x for xs in KIND_STATISTICS.values() for x in xs if x not in RANKED)
+#: A candidate of a kind is rarer than this: no more than half of its language is as extreme.
+EXTREME = math.log(2)
 FIELDS = (*RANKED, "list_share", "table_share", "markup_share", "form_share", "single_share", "top_share", "n_lines", "letters")
 STATS = "doc_id bigint, language string, " + ", ".join(f"{f} double" for f in FIELDS)
 
@@ -60,6 +71,8 @@ def table_share(lines: list[str]) -> float:
         return 0.0
     best = 0.0
     for sep in ("\t", "|", ";", ",", "  "):
+        if not any(("  " in x or "\t" in x or not x.isascii()) if sep == "  " else sep in x for x in rows):
+            continue
         counts = [_cells(x, sep) for x in rows]
         many = Counter(c for c in counts if c > 1)
         if not many:
@@ -92,10 +105,8 @@ def list_share(lines: list[str]) -> float:
 
 
 def _coded(token: str) -> bool:
-    """Whether a token is a code: letters and digits mixed, a time, a path, an assignment. Very long ones count if they mix."""
-    if len(token) <= 200:
-        return bool(_FORM.search(token))
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+    """Whether a token is a code: letters and digits mixed, a time, a path, an assignment."""
+    return bool(_FORM.search(token))
 
 
 def _odd(token: str) -> bool:
@@ -114,16 +125,34 @@ def _odd(token: str) -> bool:
     return len(plain) >= 4 and plain == core and not re.search(r"[aeiouyAEIOUY]", plain) or len(plain) >= 5 and bool(re.search(r"[bcdfghjklmnpqrstvwxz]{6,}", plain.lower()))
 
 
-_odd_kept = lru_cache(maxsize=100_000)(_odd)
-_coded_kept = lru_cache(maxsize=100_000)(_coded)
+class Token(NamedTuple):
+    """What a text's statistics need of one of its tokens, the runs of other signs than white space."""
+
+    words: tuple[str, ...]
+    letters: int
+    digits: int
+    coded: bool
+    parts: int
+    parts_size: int
+    odd: int
+    single: int
+
+
+def _token(token: str) -> Token:
+    words = _WORD.findall(token)
+    parts = [x for x in _PARTS.split(token) if x and not _BULLET.fullmatch(x)]
+    return Token(
+        tuple(w.lower() for w in words), sum(map(len, words)), 0 if token.isalpha() else len(_DIGIT.findall(token)), not token.isalpha() and _coded(token),
+        len(parts), sum(map(len, parts)), sum(len(x) for x in parts if _odd(x)), sum(len(x) == 1 and not _CJK.match(x) for x in parts),
+    )
 
 
-def _repeats(ids: np.ndarray, size: int) -> float:
-    """The share of runs of `size` units that occurred before, by a rolling hash of the units' numbers."""
-    runs = np.zeros(len(ids) - size + 1, np.uint64)
-    for i in range(size):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - size + 1 + i] + np.uint64(1)
-    return 1 - len(np.unique(runs)) / len(runs)
+_token_kept = lru_cache(maxsize=200_000)(_token)
+
+
+def _repeats(units: Sequence[str], size: int) -> float:
+    """The share of runs of `size` units that occurred before."""
+    return 1 - len(set(zip(*(units[i:] for i in range(size))))) / (len(units) - size + 1)
 
 
 def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
@@ -134,60 +163,71 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple:
     lines = [x.strip("  　") for x in text.split("\n")]
     lines = [x.strip() if "\t" not in x else x.strip(" ") for x in lines if x.strip()]
     size = sum(map(len, lines)) or 1
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
-    han = len(_CJK.findall(text))
-    cyrillic = len(_CYRILLIC.findall(text)) if not text.isascii() else 0
-    letters = sum(map(len, words))
+    plain = text.isascii()
+    tokens = text.split()
+    counted = Counter(tokens)
+    known = [(_token_kept(t) if len(t) <= 40 else _token(t), len(t), times) for t, times in counted.items()]
+    lower: dict[str, int] = {}
+    letters = digits = coded = n_parts = whole = odd = single = n_tokens_size = n_words = 0
+    for (words, own_letters, own_digits, is_coded, parts, parts_size, own_odd, singles), length, times in known:
+        for word in words:
+            lower[word] = lower.get(word, 0) + times
+        n_words += len(words) * times
+        letters += own_letters * times
+        n_parts += parts * times
+        whole += parts_size * times
+        n_tokens_size += length * times
+        if own_letters < length:
+            digits += own_digits * times
+            single += singles * times
+            coded += length * times if is_coded else 0
+        elif length == 1:
+            single += singles * times
+        odd += own_odd * times
+    units_han = [] if plain else _CJK.findall(text)
+    han = len(units_han)
+    cyrillic = 0 if plain else len(_CYRILLIC.findall(text))
     if han > 0.2 * letters:
-        language = "zh"
-        units = _CJK.findall(text)
+        language, n = "zh", han
         shared = common.get("zh", frozenset())
-        hits = sum(c in shared for c in units)
+        hits = sum(c in shared for c in units_han)
     else:
-        units = lower
-        counts = dict.fromkeys((lang for lang in common if lang != "zh"), 0)
-        for word, times in Counter(lower).items():
-            for lang, shared in common.items():
-                if word in shared and lang != "zh":
-                    counts[lang] += times
+        n = n_words
+        counts = {lang: sum(lower[word] for word in shared & lower.keys()) for lang, shared in common.items() if lang != "zh"}
         language = "ru" if cyrillic > 0.4 * letters else max(sorted(counts), key=lambda k: counts[k], default="") if any(counts.values()) else "und"
         hits = counts.get(language, 0)
-    n = len(units)
-    digits = len(_DIGIT.findall(text))
-    tokens = text.split()
-    seen = max(1, sum(map(len, tokens)))
+    seen = max(1, n_tokens_size)
     symbols = seen - digits - letters
     joined = " ".join(tokens)
     encoded = joined.encode("utf-8", "replace")
     packed = len(zlib.compress(encoded, 6)) / max(1, len(encoded))
     top_line = max(Counter(lines).items(), key=lambda x: len(x[0]) * x[1], default=("", 0))
-    sentences = Counter(s.strip() for s in _SENTENCE.findall(joined) if len(s.strip()) > 3)
+    sentences = Counter(x for x in map(str.strip, _SENTENCE.findall(joined)) if len(x) > 3)
     top_sentence = max(sentences.items(), key=lambda x: len(x[0]) * x[1], default=("", 0))
-    top_word = Counter(lower).most_common(1)
     top = 0.0
     if top_line[1] > 2:
         top = len(top_line[0]) * top_line[1] / size
     if top_sentence[1] > 2:
         top = max(top, len(top_sentence[0]) * top_sentence[1] / max(1, len(joined)))
-    if top_word and len(lower) >= 12:
-        top = max(top, len(top_word[0][0]) * top_word[0][1] / max(1, letters))
-    numbers: dict[str, int] = {}
-    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.uint64, len(tokens))
-    repeat = _repeats(ids, 3) if len(tokens) > 10 else 0.0
+    if n_words >= 12:
+        word, times = max(lower.items(), key=lambda x: x[1])
+        top = max(top, len(word) * times / max(1, letters))
+    repeat = _repeats(tokens, 3) if len(tokens) > 10 else 0.0
     if han and len(tokens) < 0.2 * n:
-        repeat = _repeats(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), 8) if len(text) > 38 else 0.0
-    parts = [t for t in _PARTS.split(text) if t and not _BULLET.fullmatch(t)]
-    odd = sum(len(t) for t in parts if (_odd_kept(t) if len(t) <= 40 else _odd(t)))
-    whole = sum(map(len, parts)) or 1
-    single = sum(len(t) == 1 and not _CJK.match(t) for t in parts) / max(1, len(parts))
+        repeat = _repeats(text, 8) if len(text) > 38 else 0.0
+    single = single / max(1, n_parts)
     short = sum(len(x) <= 60 for x in lines) / max(1, len(lines))
     ends = sum(bool(_ENDS.search(x, max(0, len(x) - 60))) for x in lines) / max(1, len(lines))
-    longest = max((len(s.split()) + len(_CJK.findall(s)) / 2 for x in sentences for s in re.split(r"[;；:：]", x)), default=0)
+    longest = 0.0
+    for sentence in sentences:
+        if len(sentence) / 2 + 1 > longest:  # else it cannot have more words
+            for x in _CLAUSE.split(sentence):
+                if len(x) / 2 + 1 > longest:
+                    longest = max(longest, len(x.split()) + (0 if plain else len(_CJK.findall(x)) / 2))
     values = dict(
-        n_words=n, mean_word=letters / max(1, len(words)), symbol_ratio=symbols / seen, digit_ratio=digits / seen, end_share=ends, common_share=hits / max(1, n), short_line_share=short,
-        odd_word_share=odd / whole, repeat_share=repeat, compression=packed, unpunctuated=float(longest), list_share=list_share(lines), table_share=table_share(lines),
-        markup_share=sum(len(m) for m in _TAG.findall(text)) / max(1, len(text)), form_share=sum(len(t) for t in tokens if (_coded_kept(t) if len(t) <= 40 else _coded(t))) / seen, single_share=single, top_share=top, n_lines=float(len(lines)), letters=letters / seen,
+        n_words=n, mean_word=letters / max(1, n_words), symbol_ratio=symbols / seen, digit_ratio=digits / seen, end_share=ends, common_share=hits / max(1, n), short_line_share=short,
+        odd_word_share=odd / (whole or 1), repeat_share=repeat, compression=packed, unpunctuated=float(longest), list_share=list_share(lines), table_share=table_share(lines),
+        markup_share=sum(len(m) for m in _TAG.findall(text)) / max(1, len(text)) if "<" in text or "&" in text else 0.0, form_share=coded / seen, single_share=single, top_share=top, n_lines=float(len(lines)), letters=letters / seen,
     )
     return (language, *(float(values[f]) for f in FIELDS))
 
@@ -209,20 +249,31 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
 
 
 def outlier_scores(stats: DataFrame, buckets: int = 16) -> DataFrame:
-    """(doc_id, outlier): for each document the sum over the statistics of -log of its smaller tail probability within its
-    language, by exact ranks. Ties share a rank; a language of one document scores 0."""
-    long = stats.select("doc_id", "language", F.explode(F.array(*[F.struct(F.lit(f).alias("stat"), F.round(f, 6).alias("value")) for f in RANKED])).alias("x")).select("doc_id", "language", "x.stat", "x.value")
-    ranks = upper_ranks(long, ["language", "stat"], "value", buckets)
-    tail = -F.log(F.least("n_le", "n_ge") / F.col("n"))
-    scored = ranks.select("language", "stat", "value", tail.alias("surprise"))
-    return long.join(scored, ["language", "stat", "value"]).groupBy("doc_id").agg(F.sum("surprise").alias("outlier"))
+    """(doc_id, outlier, table_tail, list_tail, junk_tail): surprises of each document, a surprise being -log of an
+    empirical tail probability among the documents of its language by exact ranks, or among all where the language cannot
+    be told. outlier: the sum over the statistics of RANKED of the smaller tail's. The others: the greatest of the upper
+    tails of the statistics that speak for a kind. Ties share a rank; a language of one document has no surprise."""
+    group = F.when(F.col("language") == "und", "*").otherwise(F.col("language"))
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("stat"), F.round(-F.col(f) if f in FALLING else F.col(f), 6).alias("value")) for f in (*RANKED, *SPEAKING)])).alias("x")
+    long = stats.select("doc_id", group.alias("group"), values).select("doc_id", "group", "x.stat", "x.value")
+    counted = long.select("group", "stat", "value").unionByName(long.where("group <> '*'").select(F.lit("*").alias("group"), "stat", "value"))
+    ranks = upper_ranks(counted, ["group", "stat"], "value", buckets)
+    up, down = -F.log(F.col("n_ge") / F.col("n")), -F.log(F.col("n_le") / F.col("n"))
+    scored = ranks.select("group", "stat", "value", up.alias("up"), F.greatest(up, down).alias("either"))
+    # a share of nothing is the least there is: its upper tail is everything, its surprise 0, and it need not be looked up
+    asked = long.where(F.col("stat").isin(*RANKED, *FALLING) | (F.col("value") != 0))
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("stat").isin(*KIND_STATISTICS[kind]), F.col("up"))), F.lit(0.0)).alias(f"{kind}_tail")
+    return asked.join(scored, ["group", "stat", "value"]).groupBy("doc_id").agg(F.sum(F.when(F.col("stat").isin(*RANKED), F.col("either"))).alias("outlier"), of("table"), of("list"), of("junk"))
 
 
 def kinds(stats: DataFrame, outliers: DataFrame) -> DataFrame:
-    """Statistics with outlier score and kind. A document is junk by itself if one thing is most of it, if most of it is
-    markup, codes or signs, or its words are none; near those borders it is junk if it is also an outlier of its language."""
+    """Statistics with surprises and kind. The candidates of a kind are the documents that are more extreme than half of
+    their language in a statistic that speaks for it; its definition then decides exactly. A candidate is a table or a list
+    if nearly all of it is; junk if one thing is most of it, if most of it is markup, codes or signs, or its words are none;
+    near those borders it is junk if it is also an outlier of its language."""
     both = stats.join(outliers, "doc_id")
     c = F.col
+    candidate = lambda kind: c(f"{kind}_tail") >= EXTREME
     outlying = c("outlier") >= 18.0
     one_thing = (c("top_share") >= 0.5) | (c("repeat_share") >= 0.75) & (c("table_share") < 0.8)
     codes = (c("markup_share") >= 0.4) | (c("form_share") >= 0.35) & (c("table_share") < 0.8)
@@ -230,10 +281,10 @@ def kinds(stats: DataFrame, outliers: DataFrame) -> DataFrame:
     no_sentences = (c("letters") < 0.45) | (c("unpunctuated") >= 60) | (c("unpunctuated") >= 40) & (c("n_lines") == 1) & (c("end_share") == 0)
     near_junk = (c("top_share") >= 0.42) | (c("odd_word_share") >= 0.25) | (c("single_share") >= 0.38) & (c("n_words") >= 8) | (c("unpunctuated") >= 48) & (c("n_lines") < 5) | (c("form_share") >= 0.22)
     kind = (
-        F.when(one_thing | codes, "junk")
-        .when(c("table_share") >= 0.8, "table")
-        .when((c("list_share") >= 0.85) & (c("odd_word_share") < 0.3), "list")
-        .when(garbled | no_sentences | near_junk & outlying, "junk")
+        F.when(candidate("junk") & (one_thing | codes), "junk")
+        .when(candidate("table") & (c("table_share") >= 0.8), "table")
+        .when(candidate("list") & (c("list_share") >= 0.85) & (c("odd_word_share") < 0.3), "list")
+        .when(candidate("junk") & (garbled | no_sentences | near_junk & outlying), "junk")
         .otherwise("prose")
     )
     return both.withColumn("kind", kind)
