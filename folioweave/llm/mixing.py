@@ -1,9 +1,9 @@
 """Mixing sources to target shares of tokens, by soft membership.
 
-A classifier trained on labelled documents gives each document its probabilities of the domains. A distributed projected
-gradient fits a nonnegative rate for each document so that the domains' expected token totals, by membership, match their
-targets. Rates become whole copies; a last step settles each source on its own label, so the shares asked for by source
-hold up to one document.
+A classifier trained on labelled documents gives each document its probabilities of the domains by its text. Projected
+gradient fits nonnegative rates so that the domains' expected token totals, by membership, and the sources' own totals
+match their targets; the sums it needs are aggregated over all documents once. Rates become whole copies, and a last step
+makes up for what rounding left over, so the shares asked for by source hold up to one document.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.llm.common import once_by
@@ -25,8 +25,10 @@ from folioweave.session import cut
 FIT_DOCUMENTS = 200
 #: Hashed word features of the classifier.
 FEATURES = 4096
-#: Weight of a document's own label in its membership; the classifier's probabilities have the rest.
-LABEL_WEIGHT = 0.8
+#: Levels of the likeliest domain's probability that cells tell apart.
+LEVELS = 8
+#: Documents of a bucket in which a running total is summed.
+BUCKET_ROWS = 20_000
 
 
 def _slot(word: str) -> int:
@@ -69,7 +71,8 @@ def fit_domains(documents: DataFrame, sources: list[str], seed_rounds: int = 60)
 
 
 def memberships(documents: DataFrame, weights: np.ndarray, sources: list[str]) -> DataFrame:
-    """(doc_id, source, tokens, m): for each document its membership in each source, adding up to 1."""
+    """(doc_id, source, tokens, m, cell): for each document its probabilities of the domains by its text alone, and the
+    cell it shares with others of its source that have the same likeliest domain with about the same probability."""
     place = {s: i for i, s in enumerate(sources)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,11 +82,12 @@ def memberships(documents: DataFrame, weights: np.ndarray, sources: list[str]) -
                 z = np.concatenate([_features(part["text"].tolist()), np.ones((len(part), 1), np.float32)], axis=1) @ weights
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                own = np.zeros_like(p)
-                own[np.arange(len(part)), [place[s] for s in part["source"]]] = 1
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "tokens": part["tokens"].to_numpy(), "m": list((LABEL_WEIGHT * own + (1 - LABEL_WEIGHT) * p).astype(np.float64))})
+                own = np.array([place[s] for s in part["source"]])
+                level = np.minimum((p.max(axis=1) * LEVELS).astype(int), LEVELS - 1)
+                cell = (own * len(sources) + p.argmax(axis=1)) * LEVELS + level
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "tokens": part["tokens"].to_numpy(), "m": list(p.astype(np.float64)), "cell": cell.astype(np.int32)})
 
-    return documents.select("doc_id", "text", "source", "tokens").mapInPandas(run, "doc_id bigint, source string, tokens bigint, m array<double>")
+    return documents.select("doc_id", "text", "source", "tokens").mapInPandas(run, "doc_id bigint, source string, tokens bigint, m array<double>, cell int")
 
 
 def mixture_size(per_source: dict[str, tuple[float, int]], shares: dict[str, float]) -> float:
@@ -91,106 +95,109 @@ def mixture_size(per_source: dict[str, tuple[float, int]], shares: dict[str, flo
     return min((tokens * repeats / shares[s] for s, (tokens, repeats) in per_source.items() if shares[s] > 0), default=0.0)
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, rounds: int = 25) -> DataFrame:
-    """rows (doc_id, tokens, m, cap, start) with `rate` fitted: projected gradient on the squared relative gaps between the
-    expected token totals of the domains and their targets, rates within 0 and cap.
-
-    Scaled by its start rate and tokens, a document's gradient is -sum_d m[d] * gap[d]: a few numbers a round, the same for
-    all documents. So a round sums one row of totals over all documents, and the rates follow from the summed steps, which
-    are projected when they are used (lazy projection); nothing is written between rounds."""
-    size = len(targets)
-    steps = np.zeros(size)
-    scale = np.maximum(targets, 1.0)
-
-    def with_rate(total: np.ndarray) -> DataFrame:
-        step = F.aggregate(F.zip_with("m", F.array(*[F.lit(float(x)) for x in total]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return rows.withColumn("rate", F.least(F.greatest(F.col("start") * (1 + step), F.lit(0.0)), F.col("cap").cast("double")))
+def fit_rates(tokens: np.ndarray, expected: np.ndarray, own: np.ndarray, start: np.ndarray, cap: np.ndarray, targets: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """The rate of each cell by projected gradient, within 0 and its cap, from its tokens, its expected tokens of each
+    domain (cells, domains) and the place of its source.
 
+    Two sets of totals are to match the targets, in least squares of their relative gaps: those of the domains, as the
+    texts' memberships expect them, and those of the sources. There are far more cells than totals, so both can be met as
+    far as the caps allow. Scaled by its start rate a cell's gradient is the gaps weighed by its shares of the totals."""
+    size, scale = len(targets), np.maximum(targets, 1.0)
+    parts = np.concatenate([expected, tokens[:, None] * np.eye(size)[own]], axis=1)  # a cell's part in each total at rate 1
+    goals, scales = np.r_[targets, targets], np.r_[scale, scale]
+    lean = parts / np.maximum(tokens, 1e-9)[:, None]
+    rate, best, least = np.clip(start, 0, cap), np.clip(start, 0, cap), np.inf
     for _ in range(rounds):
-        sums = with_rate(steps).select(*[F.sum(F.col("rate") * F.col("tokens") * F.col("m")[d]).alias(f"d{d}") for d in range(size)]).first()
-        totals = np.array([x or 0.0 for x in sums])
-        gap = np.where(targets > 0, (targets - totals) / scale, 0.0)
-        if np.abs(gap).max() < 1e-3:
+        gap = (goals - rate @ parts) / scales
+        gap[size:] *= 4  # the sources' shares are what is asked for
+        loss = float((gap**2).sum())
+        if loss < least:
+            best, least = rate, loss
+        if np.abs(gap).max() < 1e-5:
             break
-        steps += np.clip(gap, -1.0, 1.0)
-    return with_rate(steps)
+        rate = np.clip(rate + 0.2 * np.maximum(start, 1e-3) * (lean @ gap), 0, cap)
+    return best
 
 
-def mix(documents: DataFrame, add_counts: Callable[[DataFrame], DataFrame], targets: DataFrame, rounds: int = 25) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, add_counts: Callable[[DataFrame], DataFrame], targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). mixture: doc_id, source, n_tokens, copies for each document used; report: source, target_share,
-    available tokens, mixture tokens, actual_share and the most copies of one document, for every source with a target.
+    available tokens, mixture tokens, actual_share and the most copies of one document, for every source with a target, and
+    beside them fitted_share, what the rates give it before they are whole, and expected_share, what the memberships
+    expect of its domain.
 
     documents: doc_id, source, text; add_counts: adds `n_tokens` to them; targets: source, target_share, max_repeats.
     Repeated doc_ids count once; documents without tokens or of sources without a target are not used. The total is the largest at which
     each source that has documents reaches its share within its repeats; the shares of sources without any document fall
-    to the others in proportion, and their actual share is 0. Null shares and repeats count as 0 and 1.
+    to the others in proportion, and their actual share is 0. Null shares and repeats count as 0 and 1. The rates are
+    fitted on sums over cells, at most sources x sources x LEVELS rows, that all documents are aggregated to.
     """
+    spark = documents.sparkSession
     wanted = {r.source: (float(r.target_share or 0.0), int(r.max_repeats or 1)) for r in targets.where("source IS NOT NULL").dropDuplicates(["source"]).collect()}  # a fixed list
     sources = sorted(s for s, (share, _) in wanted.items() if share > 0)
     once = once_by(documents.where(F.col("source").isin(sources)), "doc_id", "source", "text")
     sized = cut(add_counts(once).withColumnRenamed("n_tokens", "tokens").where("tokens > 0"), "sized")
-    available = {r.source: float(r.t) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row a source
+    counted = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # one row a source
+    available = {r.source: float(r.t) for r in counted}
     whole = sum(wanted[s][0] for s in available) or 1.0
     shares = {s: wanted[s][0] / whole for s in available}
     total = mixture_size({s: (available[s], wanted[s][1]) for s in available}, shares)
-    limits = documents.sparkSession.createDataFrame([(s, float(shares.get(s, 0.0) * total), wanted[s][1], wanted[s][0], available.get(s, 0.0)) for s in sources] or [], "source string, goal double, cap int, target_share double, available double")
     live = sorted(available)
+    fitted, expected = dict.fromkeys(live, 0.0), dict.fromkeys(live, 0.0)
     if live:
-        weights = fit_domains(sized, live)
-        soft = memberships(sized, weights, live).join(F.broadcast(limits.select("source", "goal", "cap", "available")), "source")  # one row a source
-        soft = cut(soft.withColumn("start", F.col("goal") / F.col("available")), "soft")
-        fitted = fit_rates(soft, np.array([shares[s] * total for s in live]), rounds)
+        goals = np.array([shares[s] * total for s in live])
+        soft = cut(memberships(sized, fit_domains(sized, live), live), "soft")
+        cells = soft.groupBy("cell").agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * F.col("m")[d]).alias(f"d{d}") for d in range(len(live))]).toPandas().sort_values("cell")
+        tokens, sums = cells["t"].to_numpy(float), cells[[f"d{d}" for d in range(len(live))]].to_numpy(float)
+        own = cells["cell"].to_numpy() // (len(live) * LEVELS)
+        cap = np.array([wanted[s][1] for s in live], float)[own]
+        rate = fit_rates(tokens, sums, own, (goals / np.array([available[s] for s in live]))[own], cap, goals)
+        mass = max(float(rate @ tokens), 1e-9)
+        fitted = dict(zip(live, np.bincount(own, weights=rate * tokens, minlength=len(live)) / mass))
+        expected = dict(zip(live, (rate @ sums) / mass))
+        rates = spark.createDataFrame(pd.DataFrame({"cell": cells["cell"].astype("int32"), "rate": rate, "cap": cap.astype("int32"), "goal": goals[own]}), "cell int, rate double, cap int, goal double")
+        rated = soft.select("doc_id", "source", "tokens", "cell").join(F.broadcast(rates), "cell")  # at most sources x sources x LEVELS rows
     else:
-        fitted = sized.select("doc_id", "source", "tokens", F.lit(0).alias("cap"), F.lit(0.0).alias("goal"), F.lit(0.0).alias("rate"))
-    fitted = cut(fitted.select("doc_id", "source", "tokens", "cap", "goal", "rate"), "fitted")
-    mixture = _whole_copies(fitted)
+        rated = sized.select("doc_id", "source", "tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("cap"), F.lit(0.0).alias("goal"))
+    buckets = max(64, sum(r.n for r in counted) // BUCKET_ROWS)
+    mixture = _settle(_whole_copies(rated.select("doc_id", "source", "tokens", "cap", "goal", "rate"), buckets), buckets)
+    mixture = mixture.where("copies > 0").select("doc_id", "source", F.col("tokens").alias("n_tokens"), "copies")
+    limits = spark.createDataFrame([(s, wanted[s][0], available.get(s, 0.0), float(fitted.get(s, 0.0)), float(expected.get(s, 0.0))) for s in sources], "source string, target_share double, available double, fitted double, expected double")
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
     everything = F.sum("used").over(Window.partitionBy())  # one row a source
     report = limits.join(used, "source", "left").select(
-        "source", "target_share", F.col("available").cast("bigint").alias("available_tokens"), F.coalesce("used", F.lit(0)).cast("bigint").alias("mixture_tokens"),
-        F.coalesce(F.round(F.col("used") / everything, 6), F.lit(0.0)).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).cast("int").alias("most_copies"),
+        "source", "target_share", F.col("available").cast("bigint").alias("available_tokens"), F.round("expected", 6).alias("expected_share"), F.round("fitted", 6).alias("fitted_share"),
+        F.coalesce("used", F.lit(0)).cast("bigint").alias("mixture_tokens"), F.coalesce(F.round(F.col("used") / everything, 6), F.lit(0.0)).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).cast("int").alias("most_copies"),
     )
     return mixture, report
 
 
-def _whole_copies(fitted: DataFrame, buckets: int = 64) -> DataFrame:
-    """Whole copies from rates, source by source: rates are scaled to the source's goal, then the running total of wanted
-    tokens in the order of a hash is rounded, by hash buckets with offsets, so that a source's total misses its goal by
-    about one document and no document passes its cap."""
-    scaled = fitted
-    for _ in range(6):  # rates at their cap leave the rest to the others
-        sums = scaled.groupBy("source").agg(
-            F.sum(F.when(F.col("rate") >= F.col("cap"), F.col("tokens") * F.col("cap")).otherwise(0.0)).alias("fixed"),
-            F.sum(F.when(F.col("rate") < F.col("cap"), F.col("tokens") * F.col("rate")).otherwise(0.0)).alias("free"),
-        )
-        factor = F.when(F.col("free") > 0, (F.col("goal") - F.col("fixed")) / F.col("free")).otherwise(1.0)
-        scaled = scaled.join(F.broadcast(sums), "source").withColumn("rate", F.when(F.col("rate") >= F.col("cap"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("rate") * F.greatest(factor, F.lit(0.0))))).drop("fixed", "free")
-    scaled = cut(scaled, "scaled")
-    placed = scaled.withColumn("order", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftright("order", 48), F.lit(buckets))).withColumn("part", F.col("rate") - F.floor("rate"))
-    sums = placed.groupBy("source", "bucket").agg(F.sum(F.col("part") * F.col("tokens")).alias("w"))
+def _running(rows: DataFrame, size: Column, order: str, buckets: int) -> DataFrame:
+    """rows with `upto`, the running total of `size` in its source by a hash order, summed by hash buckets with offsets."""
+    placed = rows.withColumn("size__", size).withColumn("bucket", F.pmod(F.shiftright(order, 32), F.lit(buckets)))
+    sums = placed.groupBy("source", "bucket").agg(F.sum("size__").alias("w"))
     offsets = sums.select("source", "bucket", (F.sum("w").over(Window.partitionBy("source").orderBy("bucket")) - F.col("w")).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id")
-    running = placed.join(F.broadcast(offsets), ["source", "bucket"]).withColumn("upto", F.col("offset") + F.sum(F.col("part") * F.col("tokens")).over(inside))
-    # a document gets its extra copy if the running total passes the middle of a stretch of the source's mean length
-    mean = fitted.groupBy("source").agg(F.avg("tokens").alias("mean"))
-    before = F.col("upto") - F.col("part") * F.col("tokens")
-    step = F.col("mean")
-    extra = F.when(F.floor(F.col("upto") / F.col("tokens") + 0.5) > F.floor(before / F.col("tokens") + 0.5), 1).otherwise(0)
-    copies = running.join(F.broadcast(mean), "source").withColumn("copies", F.least(F.col("cap"), (F.floor("rate") + extra).cast("int")))
-    rough = cut(copies.select("doc_id", "source", "tokens", "cap", "goal", "copies", "order", step.alias("mean")), "rough")
-    return _settle(rough).where("copies > 0").select("doc_id", "source", F.col("tokens").alias("n_tokens"), "copies")
-
-
-def _settle(rough: DataFrame, buckets: int = 64) -> DataFrame:
-    """Adds or drops single copies, in a fixed order, until a source's total is within a document of its goal."""
+    inside = Window.partitionBy("source", "bucket").orderBy(order, "doc_id")
+    return placed.join(offsets, ["source", "bucket"]).withColumn("upto", F.col("offset") + F.sum("size__").over(inside)).drop("offset", "bucket", "size__")
+
+
+def _whole_copies(rated: DataFrame, buckets: int) -> DataFrame:
+    """Whole copies from rates: the whole part of a rate, and one more for documents at which the running total of the
+    parts left over passes a multiple of the document's tokens, so that these parts come out at their sum."""
+    rows = cut(rated.withColumn("order", F.xxhash64("doc_id")).withColumn("part", F.col("rate") - F.floor("rate")), "rated")
+    own = F.col("part") * F.col("tokens")
+    step = lambda x: F.floor(x / F.col("tokens") + 0.5)
+    extra = F.when(step(F.col("upto")) > step(F.col("upto") - own), 1).otherwise(0)
+    return _running(rows, own, "order", buckets).select("doc_id", "source", "tokens", "cap", "goal", "order", F.least(F.col("cap"), (F.floor("rate") + extra).cast("int")).alias("copies"))
+
+
+def _settle(rough: DataFrame, buckets: int) -> DataFrame:
+    """Adds or drops single copies, in a fixed order, until a source's total is within a document of its goal: what rounding
+    has left over."""
+    rough = cut(rough, "rough")
     gaps = rough.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("have"), F.first("goal").alias("aim"))
-    rows = rough.join(F.broadcast(gaps), "source").withColumn("gap", F.col("aim") - F.col("have"))
+    rows = rough.join(F.broadcast(gaps), "source").withColumn("gap", F.col("aim") - F.col("have"))  # one row a source
     able = rows.withColumn("free", F.when(F.col("gap") > 0, (F.col("copies") < F.col("cap")).cast("int")).otherwise((F.col("copies") > 0).cast("int")))
-    turned = able.withColumn("order2", F.xxhash64("order", F.lit("settle"))).withColumn("bucket", F.pmod(F.shiftright("order2", 48), F.lit(buckets)))
-    sums = turned.groupBy("source", "bucket").agg(F.sum(F.col("free") * F.col("tokens")).alias("w"))
-    offsets = sums.select("source", "bucket", (F.sum("w").over(Window.partitionBy("source").orderBy("bucket")) - F.col("w")).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order2", "doc_id")
-    upto = turned.join(F.broadcast(offsets), ["source", "bucket"]).withColumn("upto", F.col("offset") + F.sum(F.col("free") * F.col("tokens")).over(inside))
+    upto = _running(able.withColumn("order2", F.xxhash64("order", F.lit("settle"))), F.col("free") * F.col("tokens"), "order2", buckets)
     moved = (F.col("free") == 1) & (F.col("upto") - F.col("tokens") / 2 <= F.abs("gap"))
     change = F.when(moved & (F.col("gap") > 0), 1).when(moved & (F.col("gap") < 0), -1).otherwise(0)
     return upto.withColumn("copies", F.col("copies") + change)

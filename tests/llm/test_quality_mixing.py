@@ -85,3 +85,23 @@ def test_mix_of_nothing(spark, sources):
 
 def test_mixture_size():
     assert mixture_size({"a": (100.0, 2), "b": (100.0, 1)}, {"a": 0.5, "b": 0.5}) == 200.0 and mixture_size({}, {}) == 0.0
+
+
+def test_rates_meet_both_sets_of_totals():
+    import numpy as np
+
+    from folioweave.llm.mixing import fit_rates
+
+    rng = np.random.default_rng(1)
+    own = np.repeat(np.arange(3), 20)
+    tokens = rng.uniform(500, 2000, 60)
+    soft = rng.dirichlet(np.ones(3), 60) + 2 * np.eye(3)[own]
+    expected = tokens[:, None] * soft / soft.sum(axis=1, keepdims=True)
+    goals = np.array([0.5, 0.3, 0.2]) * tokens.sum() * 0.6
+    start = (goals / np.bincount(own, weights=tokens))[own]
+    cap = np.full(60, 3.0)
+    rate = fit_rates(tokens, expected, own, start, cap, goals)
+    assert (rate >= 0).all() and (rate <= cap).all()
+    assert np.abs(np.bincount(own, weights=rate * tokens) / goals - 1).max() < 0.01 and np.abs(rate @ expected / goals - 1).max() < 0.01
+    tight = fit_rates(tokens, expected, own, start, np.full(60, 0.1), goals)
+    assert np.allclose(tight, 0.1)  # a goal that no rates reach leaves all at their caps
