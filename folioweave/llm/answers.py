@@ -53,9 +53,6 @@ _QUOTES = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]|
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = ".!?。！？"
 _CLOSERS = "\"'”’»“」』)）*`_]}> \n\t"
-#: A response of no more characters than this is no evidence for a spike of the length limit.
-SPIKE_FROM = 40
-
 PARSED = "pred_id bigint, raw string, core string, kind string, script string, words array<string>, q_script string, q_words array<string>"
 
 
@@ -80,6 +77,12 @@ def plain_words(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text) if w[0].islower()]
 
 
+def asking_words(question: str) -> list[str]:
+    """The words of a question that can tell its language: its first one and those that are not capitalised, so no names."""
+    words = _WORDS.findall(question)
+    return [w.lower() for w in (*words[:1], *(w for w in words[1:] if w[0].islower()))]
+
+
 def empty_answer(raw: str | None) -> bool:
     if raw is None:
         return True
@@ -173,7 +176,7 @@ def parse_answers(predictions: DataFrame) -> DataFrame:
                     told = _QUOTES.sub(" ", re.sub(r"(?im)^\s*question\s*[:：].*$", " ", told))
                     told = _LABEL_COLON.sub(" ", _LABEL.sub(" ", told))
                     spoken, words = script(told), plain_words(told)
-                out.append((pid, raw, core, kind, spoken, words, script(question), [w.lower() for w in _WORDS.findall(question)]))
+                out.append((pid, raw, core, kind, spoken, words, script(question), asking_words(question)))
             yield pd.DataFrame(out, columns=["pred_id", "raw", "core", "kind", "script", "words", "q_script", "q_words"])
 
     return predictions.mapInPandas(run, PARSED)
@@ -206,11 +209,11 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     ordered = next_in_order(cores.select("core").distinct(), "core", buckets)
     shorter = ordered.where(F.col("following").startswith(F.col("core")) & (F.length("following") > F.length("core") + 1)).select("core", F.lit(True).alias("begins_other"))
 
-    # lengths at which many more responses stop, without an end, than at the lengths around them
+    # lengths at which many more responses stop, without an end, than at the lengths around them: beyond chance, at any size
     unended = parsed.where(F.col("kind").isin("phrase", "open")).groupBy(F.length("raw").alias("len")).agg(F.count(F.lit(1)).alias("n"))
     shifts = unended.select(F.col("n"), F.explode(F.sequence(F.col("len") - 5, F.col("len") + 5)).alias("len"), F.col("len").alias("own"))
     around = shifts.where("own <> len").groupBy("len").agg((F.sum("n") / 10).alias("near"))
-    spikes = unended.join(around, "len", "left").where((F.col("len") > SPIKE_FROM) & (F.col("n") >= 20) & (F.col("n") > 6 * F.coalesce("near", F.lit(0.0)))).select("len", F.lit(True).alias("spike"))
+    spikes = unended.join(around, "len", "left").where((F.col("n") > 6 * F.coalesce("near", F.lit(0.0))) & (F.col("n") > F.coalesce("near", F.lit(0.0)) + 6 * F.sqrt(F.coalesce("near", F.lit(0.0)) + 1))).select("len", F.lit(True).alias("spike"))
 
     # the last word of an unended answer, against the words that occur whole inside answers
     tokens = parsed.where(F.col("kind").isin("phrase", "open", "closed")).select("pred_id", "kind", F.col("core"), F.split(F.lower("core"), r"[^\p{L}\p{N}'’-]+").alias("w"))
@@ -220,7 +223,9 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     common = F.broadcast(common_words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct())  # a fixed list
     langs = sorted(r.lang for r in common_words.select("lang").where("lang IS NOT NULL AND lang NOT IN ('zh', 'ru')").distinct().collect())
     asked = cut(parsed.where("q_script = 'latin'").select("pred_id", F.explode(F.array_distinct("q_words")).alias("word")), "asked")
-    hits = asked.join(common, "word").groupBy("pred_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    told_words = cut(parsed.where("script = 'latin' AND q_script = 'latin'").select("pred_id", F.explode(F.array_distinct("words")).alias("word")), "told")
+    # questions are short, so the answers' common words help to tell which language a word of theirs belongs to
+    hits = asked.unionByName(told_words).join(common, "word").groupBy("pred_id", "lang").agg(F.count(F.lit(1)).alias("n"))
     sure = hits.groupBy("pred_id").agg(F.max(F.struct("n", "lang")).alias("best"), F.sort_array(F.collect_list("n"), False).alias("ns")).where("size(ns) = 1 OR ns[0] > ns[1]")
     q_rates = word_rates(asked.join(sure.select("pred_id", F.col("best.lang").alias("lang")), "pred_id"))
     by_question = likelihoods(asked, q_rates, langs).select("pred_id", *[f"l_{x}" for x in langs])
@@ -228,7 +233,7 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     q_lang = by_question.select("pred_id", (ordered_langs[0]["lang"] if langs else F.lit(None).cast("string")).alias("latin_lang"))
     with_lang = parsed.select("pred_id", "q_script", "script", "words").join(q_lang, "pred_id", "left")
     with_lang = with_lang.withColumn("lang", F.when(F.col("q_script").isin("zh", "ru"), F.col("q_script")).otherwise(F.col("latin_lang"))).where("lang IS NOT NULL AND script <> ''")
-    latin = cut(with_lang.where("script = 'latin' AND q_script = 'latin'").select("pred_id", "lang", F.explode(F.array_distinct("words")).alias("word")), "told")
+    latin = cut(told_words.join(with_lang.select("pred_id", "lang"), "pred_id"), "told")
     told = likelihoods(latin, word_rates(latin), langs).join(latin.select("pred_id", "lang").distinct(), "pred_id")
     own = F.coalesce(*[F.when(F.col("lang") == x, F.col(f"l_{x}")) for x in langs], F.lit(0.0))
     best = F.array_max(F.array(*[F.col(f"l_{x}") for x in langs], F.lit(-1e9)))
