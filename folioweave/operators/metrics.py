@@ -46,11 +46,11 @@ def rouge_l(prediction: Column, truth: Column) -> Column:
 
 
 def scored(predictions: DataFrame) -> DataFrame:
-    """predictions with dataset, em and rl, both against `ground_truth`; where answers are options of one dataset of
-    multiple choice, rl is em."""
-    dataset = F.split("book_id", "_")[0]
-    rows = predictions.withColumn("dataset", dataset).withColumn("em", exact_match(F.col("prediction"), F.col("ground_truth")))
-    return rows.withColumn("rl", F.when(F.col("dataset").isin(*CHOICE), F.col("em")).otherwise(rouge_l(F.col("prediction"), F.col("ground_truth"))))
+    """predictions with dataset, em and rl, both against `ground_truth`, or its text where that is missing; for the dataset
+    of multiple choice rl is em."""
+    truth = F.coalesce("ground_truth", "ground_truth_text")
+    rows = predictions.withColumn("dataset", F.split("book_id", "_")[0]).withColumn("em", exact_match(F.col("prediction"), truth))
+    return rows.withColumn("rl", F.when(F.col("dataset").isin(*CHOICE), F.col("em")).otherwise(rouge_l(F.col("prediction"), truth)))
 
 
 def averages(scores: DataFrame, *by: str) -> DataFrame:

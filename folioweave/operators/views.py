@@ -42,6 +42,6 @@ VIEWS_SQL = f"""
 ck AS (SELECT book_id, {X.Sql.chunk_key('chunk_id')} AS chunk_id, min(ord) AS ord, min(text) AS text FROM chunks WHERE book_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
 nd AS (SELECT DISTINCT ON (book_id, node_id) node_key, book_id, node_id, level, text, children, leaves FROM nodes),
 mn AS (SELECT DISTINCT book_id, chunk_id, entity FROM (SELECT book_id, {X.Sql.chunk_key('chunk_id')} AS chunk_id, {X.Sql.entity_key('e')} AS entity FROM (SELECT book_id, chunk_id, unnest(entities) AS e FROM i_c2e) u) v WHERE {X.Sql.is_entity('entity')}),
-qa AS (SELECT DISTINCT ON (pred_id) pred_id AS qid, pipeline, book_id, question, options, ground_truth, prediction, raw_llm_output, retrieval_info FROM predictions),
+qa AS (SELECT DISTINCT ON (pred_id) pred_id AS qid, pipeline, book_id, question, options, ground_truth, ground_truth_text, prediction, raw_llm_output, retrieval_info FROM predictions),
 te AS (SELECT DISTINCT book_id, parent_id, CASE WHEN regexp_matches(c, '^L[0-9]+_') THEN c ELSE 'L0_' || c END AS child_id FROM (SELECT book_id, node_id AS parent_id, unnest(children) AS c FROM nd WHERE level > 0) u WHERE c IS NOT NULL)
 """

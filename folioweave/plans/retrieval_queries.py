@@ -262,7 +262,7 @@ def c2_result(spark: SparkSession, d: str) -> DataFrame:
 # scores
 
 _LCS = "coalesce(list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda w: list_transform(b, lambda y: (y = w)::INT))), lambda acc, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN m[i] = 1 THEN (CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END) + 1 ELSE acc[i] END))))[-1], 0)"
-_SCORED = f""", s0 AS (SELECT qid, pipeline, split_part(book_id, '_', 1) AS dataset, {X.Sql.standardise("coalesce(prediction, 'Z')")} AS p, {X.Sql.standardise("coalesce(ground_truth, '')")} AS t FROM qa),
+_SCORED = f""", s0 AS (SELECT qid, pipeline, split_part(book_id, '_', 1) AS dataset, {X.Sql.standardise("coalesce(prediction, 'Z')")} AS p, {X.Sql.standardise("coalesce(ground_truth, ground_truth_text, '')")} AS t FROM qa),
 s1 AS (SELECT *, (p = t)::INT::DOUBLE AS em, {X.Sql.words("p")} AS a, {X.Sql.words("t")} AS b FROM s0),
 s2 AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(2.0 * {_LCS} / (len(a) + len(b)), 4) END AS f FROM s1),
 sc AS MATERIALIZED (SELECT qid, pipeline, dataset, em, CASE WHEN dataset = 'InfiniteChoice' THEN em ELSE f END AS rl FROM s2)"""

@@ -3,6 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from folioweave.operators import postings, relations
+from folioweave.operators.ranking import placed
+from folioweave.prompts import RELATION
 
 KEY = "book_id string, chunk_id string, "
 
@@ -62,12 +64,24 @@ def test_pending_and_prompts(spark):
     cached = spark.createDataFrame([("b", "c1"), ("b", "c1")], "book_id string, chunk_id string")
     assert [r.chunk_id for r in relations.pending(eligible, cached).collect()] == ["c3"]
     chunks = spark.createDataFrame([("b", "c1", "t" * 9000), ("b", "c3", None)], KEY + "text string")
-    assert {r.chunk_id: len(r.prompt) for r in relations.prompts(eligible, chunks, mentions).collect()} == {"c1": len("Entities: x, y\n\nText:\n") + 8000, "c3": len("Entities: y, z\n\nText:\n")}
+    assert {r.chunk_id: len(r.prompt) for r in relations.prompts(eligible, chunks, mentions).collect()} == {"c1": len(RELATION.format_map({"entities": "x, y", "text": ""})) + 8000, "c3": len(RELATION.format_map({"entities": "y, z", "text": ""}))}
 
 
-def test_strongest(spark):
-    edges = spark.createDataFrame([("b", s, "r", "t", w) for s, w in (("a", 1.0), ("c", 2.0), ("b", 2.0))], "book_id string, source string, relation string, target string, weight double")
-    assert [r.source for r in relations.strongest(edges, 2).orderBy("place").collect()] == ["b", "c"]
+def test_by_weight(spark):
+    edges = spark.createDataFrame([("b", s, "r", "t", w) for s, w in (("a", 1.0), ("c", 2.0), ("b", 2.0))] + [("x", "a", "r", "t", 1.0)], "book_id string, source string, relation string, target string, weight double")
+    assert sorted((r.book_id, r.place, r.source) for r in relations.by_weight(edges).collect()) == [("b", 1, "b"), ("b", 2, "c"), ("b", 3, "a"), ("x", 1, "a")]
+
+
+def test_places_over_many_ranges(spark):
+    rows = spark.range(0, 3000, 1, 8).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), F.xxhash64("id").alias("v"))
+    found: dict[str, list] = {}
+    for r in placed(rows, ["k"], [F.desc("v")]).collect():
+        found.setdefault(r.k, []).append((r.place, r.v))
+    assert sum(map(len, found.values())) == 3000
+    for items in found.values():
+        assert [v for _, v in sorted(items)] == sorted((v for _, v in items), reverse=True) and [p for p, _ in sorted(items)] == list(range(1, len(items) + 1))
+    assert placed(rows.where("false"), [], [F.col("v")]).count() == 0
+    assert sorted(r.place for r in placed(rows.limit(40), [], [F.col("v")]).collect()) == list(range(1, 41))
 
 
 def test_adjacent_relations(spark):

@@ -21,7 +21,7 @@ def test_rouge_l(spark):
     cases = [("the cat sat", "The cat  ran"), ("a b c d e", "b d a e"), ("", "x"), (None, "x"), ("x", "x"), ("p q", "r s")]
     rows = spark.createDataFrame(cases, "p string, t string")
     for r in rows.select("p", "t", metrics.rouge_l(F.col("p"), F.col("t")).alias("s")).collect():
-        a, b = (r.p or "").upper().split(), (r.t or "").upper().split()
+        a, b = ("Z" if r.p is None else r.p).upper().split(), (r.t or "").upper().split()
         assert r.s == (round(2 * lcs(a, b) / (len(a) + len(b)), 4) if a and b else 0.0)
 
 
@@ -122,7 +122,9 @@ def test_streams(spark, tmp_path):
     q = once.writeStream.format("memory").queryName("once_rows").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("once_rows").count() == 1
-    for weight in (2.0, 5.0):
-        rows.withColumn("weight", F.lit(weight)).write.mode("append").parquet(source)
+    late = rows.withColumn("ingested_at", F.expr("timestamp '2025-03-01 00:00:00'"))
+    older = rows.withColumn("chunk_ids", F.expr("array('chunk_1', 'chunk_2')")).withColumn("weight", F.lit(9.0))  # of more support, but older
+    for batch in (rows, late.withColumn("weight", F.lit(5.0)).unionByName(older), older):
+        batch.write.mode("append").parquet(source)
         ingest.merge_edge_stream(ingest.read_arrivals(spark, source, schema), str(tmp_path / "edges"), str(tmp_path / "check")).awaitTermination(120)
     assert [(r.target, r.weight) for r in spark.read.parquet(str(tmp_path / "edges")).collect()] == [("c", 5.0)]

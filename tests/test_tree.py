@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioweave import seams
 from folioweave.operators import tree
 
 
@@ -41,10 +42,25 @@ def test_two_stage_invariants(spark):
     nodes = spark.createDataFrame(rows, "book_id string, node_id string, embedding array<float>")
     reduced = tree.reduce_dim(nodes, 3)
     assert {len(r.z) for r in reduced.collect()} == {3}
-    found = tree.two_stage_clusters(reduced, global_size=50)
+    found = tree.two_stage_clusters(reduced, sample=50)
     assert found.select("book_id", "node_id").distinct().count() == 121  # every node has at least one label
+    again = {tuple(r) for r in tree.two_stage_clusters(reduced, sample=50).collect()}
+    assert {tuple(r) for r in found.collect()} == again  # the same whatever order rows come in
     parents = tree.group_parents(found, 1)
-    assert parents.where("n_children < 1").count() == 0 and parents.select("book_id", "node_id").distinct().count() == parents.count()
+    assert parents.count() == found.distinct().count() and parents.where("NOT parent_id LIKE 'L1_C%'").count() == 0
+
+
+def test_build_tree(spark):
+    texts = ["the sea and the ship", "a ship on the sea", "bread from the baker", "the baker sold bread", "sea ship sail", "flour bread oven"] * 3
+    chunks = spark.createDataFrame([("b", f"L0_chunk_{i}", t) for i, t in enumerate(texts)] + [("s", f"L0_chunk_{i}", t) for i, t in enumerate(texts[:5])], "book_id string, chunk_id string, text string")
+    models = seams.Models(lambda xs: [x[-30:] for x in xs], lambda xs: [[float(x.count(c)) for c in "abest"] for x in xs])
+    nodes, edges = tree.build_tree(tree.leaf_nodes(chunks), models.summarise, models.embed)
+    sizes = {(r.book_id, r.level): r.n for r in tree.level_stats(nodes).withColumnRenamed("n_nodes", "n").collect()}
+    assert sizes["b", 0] == 18 and 0 < sizes["b", 1] < 18 and ("s", 1) not in sizes
+    assert {r.child_id for r in edges.where("child_id LIKE 'L0%'").collect()} == {f"L0_chunk_{i}" for i in range(18)}
+    assert nodes.where("level > 0 AND (text IS NULL OR embedding IS NULL)").count() == 0
+    none, nothing = tree.build_tree(tree.leaf_nodes(chunks.where("false")), models.summarise, models.embed)
+    assert none.count() == 0 and nothing.count() == 0
 
 
 def test_summary_input(spark):
