@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +49,34 @@ def semantic_chunks(sentences: DataFrame, breaks: DataFrame, least: int = 3, mos
     """(id, ord, first_pos, n_sentences, text): sentences are scanned in order; a chunk ends where a break follows and it
     has `least` sentences, where it has `most`, or at the end. A document of at most `least` sentences is one chunk.
 
-    The scan carries its start from sentence to sentence, so it is a fold over each document's own positions."""
-    marked = sentences.join(breaks.withColumn("brk", F.lit(True)), ["id", "pos"], "left")
-    docs = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", F.coalesce("brk", F.lit(False)).alias("brk")))).alias("s"))
-    n = F.size("s")
-    zero = F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc, i):
-        size = i + 1 - acc["start"]
-        ends = (F.col("s")[i]["brk"] & (size >= least)) | (size >= most) | (i == n - 1)
-        return F.when(ends, F.struct((i + 1).alias("start"), F.concat(acc["starts"], F.array(acc["start"])).alias("starts"))).otherwise(acc)
-
-    folded = F.when(n <= least, F.array(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), zero, step)["starts"])
-    cut = docs.select("id", "s", folded.alias("starts")).select("id", "s", F.posexplode("starts").alias("ord", "first_pos"), "starts")
-    size = F.coalesce(F.try_element_at("starts", F.col("ord") + 2), F.size("s")) - F.col("first_pos")
-    return cut.select("id", "ord", "first_pos", size.alias("n_sentences"), F.array_join(F.transform(F.slice("s", F.col("first_pos") + 1, size), lambda x: x["sentence"]), " ").alias("text"))
+    The scan runs once over sorted sentences in batches and holds one open chunk, however long a document is."""
+    marked = sentences.join(breaks.withColumn("brk", F.lit(True)), ["id", "pos"], "left").select("id", "pos", "sentence", F.coalesce("brk", F.lit(False)).alias("brk"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, place, first, held = None, 0, 0, []
+
+        def closed() -> tuple:
+            return key, place, first, len(held), " ".join(held)
+
+        for batch in batches:
+            out = []
+            for own, pos, sentence, brk in batch.itertuples(index=False):
+                if own != key:
+                    if held:
+                        out.append(closed())
+                    key, place, held = own, 0, []
+                if not held:
+                    first = pos
+                held.append(sentence)
+                if brk and len(held) >= least or len(held) >= most:
+                    out.append(closed())
+                    place, held = place + 1, []
+            yield pd.DataFrame(out, columns=["id", "ord", "first_pos", "n_sentences", "text"])
+        if held:
+            yield pd.DataFrame([closed()], columns=["id", "ord", "first_pos", "n_sentences", "text"])
+
+    kind = dict(sentences.dtypes)["id"]
+    return marked.repartition("id").sortWithinPartitions("id", "pos").mapInPandas(scan, f"id {kind}, ord int, first_pos int, n_sentences int, text string")
 
 
 METHODS = {"tokens": token_windows, "semantic_iqr": semantic_chunks}

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.session import cut
 
 #: Query rows that one task holds at a time.
 QUERY_BLOCK = 4096
@@ -21,44 +18,19 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, book: str | None = None,
     """(qid, id, cos, place): for each query (qid, qv) the k rows (id, v) of highest cosine rounded to six places, ties to
     the smaller id. With `book`, both sides have that column and only rows of the same book count.
 
-    The queries are the stated side. Within a book, its queries and its rows are cut into blocks and each two blocks are
-    compared in one task, which keeps k a query. Without a book, blocks of queries go to the tasks of the rows, which keep
-    k a query of a batch. No pair beyond those is shuffled. Vectors of length zero are at cosine 0."""
-    if book is not None:
-        pairs = _bookwise(queries, rows, book, k + int(exclude_self))
-    else:
-        pairs = _blockwise(queries, rows, k + int(exclude_self))
+    The queries are the stated side. The queries and the rows of a book, or of all without one, are cut into blocks and
+    each two blocks are compared in one task, which keeps k a query; the driver holds none. No pair beyond those is
+    shuffled. Vectors of length zero are at cosine 0."""
+    if book is None:
+        book = "book__"
+        queries, rows = queries.withColumn(book, F.lit("")), rows.withColumn(book, F.lit(""))
+    pairs = _bookwise(queries, rows, book, k + int(exclude_self))
     if exclude_self:
         pairs = pairs.where("qid <> id")
     order = Window.partitionBy("qid").orderBy(F.desc("cos"), "id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("qid", "id", "cos", "place")
 
 
-def _blockwise(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
-    numbered = queries.select("qid", "qv").where("qv IS NOT NULL")
-    stored = cut(numbered, "queries")
-    total = stored.count()
-    parts = max(1, -(-total // QUERY_BLOCK))
-    result = None
-    for part in range(parts):
-        block = stored.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).toPandas()  # at most about QUERY_BLOCK rows
-        if not len(block):
-            continue
-        ids = block["qid"].to_numpy()
-        matrix = _units(block["qv"])
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for rows_ in batches:
-                for start in range(0, len(rows_), 8192):
-                    some = rows_.iloc[start : start + 8192]
-                    yield _best(ids, matrix, some["id"].to_numpy(), _units(some["v"]), k)
-
-        found = rows.select("id", "v").where("v IS NOT NULL").mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, cos double")
-        result = found if result is None else result.unionByName(found)
-    return result if result is not None else queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, cos double")
-
-
 def _bookwise(queries: DataFrame, rows: DataFrame, book: str, k: int) -> DataFrame:
     kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
     asked = queries.select(F.col(book).alias("book"), "qid", "qv").where("qv IS NOT NULL AND book IS NOT NULL")
