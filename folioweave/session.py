@@ -70,4 +70,12 @@ def cut(df: DataFrame, name: str = "stage", partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.cut_path = path
+    return stored
+
+
+def forget(stored: DataFrame) -> None:
+    """Deletes a table of `cut` that nothing will read again, as a loop's last round."""
+    path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.cut_path)
+    path.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
