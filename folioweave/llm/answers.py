@@ -195,7 +195,7 @@ def likelihoods(words: DataFrame, rates: DataFrame, langs: list[str]) -> DataFra
     return words.join(rates, "word").groupBy("pred_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.log(share(x))).alias(f"l_{x}") for x in langs])
 
 
-def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int = 32) -> DataFrame:
+def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int | None = None) -> DataFrame:
     """(pred_id, defect) of each prediction with a defect, at most one each.
 
     predictions: pred_id, question, options, raw_llm_output; other columns are ignored. Repeated deliveries of a pred_id
@@ -215,9 +215,15 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     around = shifts.where("own <> len").groupBy("len").agg((F.sum("n") / 10).alias("near"))
     spikes = unended.join(around, "len", "left").where((F.col("n") > 6 * F.coalesce("near", F.lit(0.0))) & (F.col("n") > F.coalesce("near", F.lit(0.0)) + 6 * F.sqrt(F.coalesce("near", F.lit(0.0)) + 1))).select("len", F.lit(True).alias("spike"))
 
-    # the last word of an unended answer, against the words that occur whole inside answers
-    tokens = parsed.where(F.col("kind").isin("phrase", "open", "closed")).select("pred_id", "kind", F.col("core"), F.split(F.lower("core"), r"[^\p{L}\p{N}'’-]+").alias("w"))
-    inside = tokens.select(F.explode(F.when(F.col("kind") == "closed", F.col("w")).otherwise(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("last")).where("last <> ''").groupBy("last").agg(F.count(F.lit(1)).alias("times"))
+    # phrases have no end of their own: begun versions of others, stopped at a spike, or with a last word that occurs whole
+    # inside no answer are truncated
+    last = F.element_at(F.split(F.lower("core"), r"[^\p{L}\p{N}'’-]+"), -1)
+    phrases = cut(parsed.where("kind = 'phrase'").select("pred_id", "core", F.length("raw").alias("len"), last.alias("last")), "phrases")
+    tokens = parsed.where(F.col("kind").isin("phrase", "open", "closed")).select("kind", F.split(F.lower("core"), r"[^\p{L}\p{N}'’-]+").alias("w"))
+    whole = tokens.select(F.explode(F.when(F.col("kind") == "closed", F.col("w")).otherwise(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("last"))
+    inside = whole.join(phrases.select("last").distinct(), "last", "left_semi").distinct().withColumn("known", F.lit(True))
+    begun = phrases.join(shorter, "core", "left").join(F.broadcast(spikes), "len", "left").join(inside, "last", "left")  # at most one spike a length
+    begun = begun.where("begins_other OR spike OR known IS NULL AND NOT core RLIKE '[\\u3400-\\u9fff]'").select("pred_id", F.lit(True).alias("begun"))
 
     # languages: how often each word is in questions, then in answers to questions, of each language
     common = F.broadcast(common_words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct())  # a fixed list
@@ -240,14 +246,8 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     foreign = told.where((F.col("n") >= 2) & (best - own > 2.0)).select("pred_id").unionByName(with_lang.where("(script = 'latin' AND q_script <> 'latin' AND size(words) >= 2) OR (script <> 'latin' AND script <> q_script)").select("pred_id"))
     foreign = foreign.distinct().withColumn("foreign", F.lit(True))
 
-    judged = (
-        parsed.select("pred_id", "kind", "core", F.length("raw").alias("len"), F.element_at(F.split(F.lower("core"), r"[^\p{L}\p{N}'’-]+"), -1).alias("last"))
-        .join(shorter, "core", "left")
-        .join(F.broadcast(spikes), "len", "left")  # at most one row a length
-        .join(inside, "last", "left")
-        .join(foreign, "pred_id", "left")
-    )
-    stopped = F.expr("kind = 'cut' OR kind = 'open' OR kind = 'phrase' AND (begins_other OR spike OR coalesce(times, 0) = 0 AND NOT core RLIKE '[\\\\u3400-\\\\u9fff]')")
+    judged = parsed.select("pred_id", "kind").join(begun, "pred_id", "left").join(foreign, "pred_id", "left")
+    stopped = F.expr("kind = 'cut' OR kind = 'open' OR begun")
     defect = (
         F.when(F.col("kind").isin("empty", "copies_question", "refusal"), F.col("kind"))
         .when(stopped, F.lit("truncated"))

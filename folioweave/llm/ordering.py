@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 BOUND_SAMPLE = 20_000
 
 
-def text_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """df with `bucket`: ranges of a string column's order, from the quantiles of a bounded sample of its hashes."""
+def text_buckets(df: DataFrame, column: str, buckets: int | None) -> DataFrame:
+    """df with `bucket`: ranges of a string column's order, from the quantiles of a bounded sample of its hashes; as many
+    as the rows need if their number is not given."""
     total = df.count()
+    buckets = min(max(16, total // 50_000), BOUND_SAMPLE) if buckets is None else buckets
     if total == 0 or buckets < 2:
         return df.withColumn("bucket", F.lit(0))
     keep = max(1, total // BOUND_SAMPLE)
@@ -22,7 +24,7 @@ def text_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (F.col(column) >= b).cast("int")) if bounds else F.lit(0))
 
 
-def next_in_order(df: DataFrame, column: str, buckets: int) -> DataFrame:
+def next_in_order(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """df (distinct values in `column`) with `following`, the next greater value, also over bucket borders."""
     bucketed = text_buckets(df, column, buckets)
     own = bucketed.withColumn("following", F.lead(column).over(Window.partitionBy("bucket").orderBy(column)))
