@@ -90,6 +90,23 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_limited_texts(spark, sf_dir))
 
 
+@query("SELECT DISTINCT l.field_name, t.book_id, t.chunk_id, md5(t.text) AS digest, TRUE AS within, TRUE AS joined FROM (SELECT 'book.book_text' AS field_name, book_id, '' AS chunk_id, book_text AS text FROM book UNION ALL SELECT 'chunks.text', book_id, chunk_id, text FROM chunks) t JOIN size_limits l ON l.field_name = t.field_name WHERE length(t.text) > l.max_chars")
+def p5_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text put together again from its pieces, by digest; whether all pieces are within the limit, and each begins
+    the stated overlap before the end of the one before."""
+    from pyspark.sql import Window
+
+    from folioweave.llm.splitting import split_oversized
+
+    limits = table(spark, sf_dir, "size_limits").select("field_name", "max_chars").dropDuplicates(["field_name"])
+    keys = ["field_name", "book_id", "chunk_id"]
+    before = F.lag("end_at", 1, 0).over(Window.partitionBy(*keys).orderBy("piece_no"))
+    pieces = split_oversized(_limited_texts(spark, sf_dir)).withColumn("before", before).join(F.broadcast(limits), "field_name")
+    own = F.struct("piece_no", F.expr("substring(piece, before - start_at + 1)").alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "")
+    return pieces.groupBy(*keys).agg(F.md5(whole).alias("digest"), F.bool_and(F.length("piece") <= F.col("max_chars")).alias("within"), F.bool_and(F.col("start_at") == F.greatest(F.lit(0), F.col("before") - F.col("overlap"))).alias("joined"))
+
+
 # 7. Encoding with a public tokenizer
 
 
