@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Query rows that one task holds at a time.
 QUERY_BLOCK = 4096
 #: Rows of a book that one task compares with a block of its queries.
