@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.common import once_by
 from folioweave.llm.ordering import next_in_order
-from folioweave.session import cut
+from folioweave.session import cut, forget
 
 # How answers are introduced, what stands for no answer, and what declines one, in six languages.
 LABEL = r"(?:(?:the |final |correct |right |my )*answer|(?:die |richtige )*antwort|(?:la |bonne )*réponse|(?:la )?respuesta(?: correcta)?|(?:правильный )?ответ|答案|response|output)"
@@ -202,11 +202,12 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     count once, rows with a null pred_id are left out. A null or blank response is `empty`; a null question only rules out
     copies and other languages. common_words (lang, word) gives the questions' language. No rows give none.
     """
+    # each part is a query of its own: in one plan the driver would hold the plans, stages and broadcasts of all parts at once
     parsed = cut(parse_answers(once_by(predictions, "pred_id", "question", "options", "raw_llm_output")), "answers")
 
     # neighbours in the order of their texts: a phrase that only begins the next one is a shortened version of it
-    cores = parsed.where("core <> ''").select("core", "kind").distinct()
-    ordered = next_in_order(cores.select("core").distinct(), "core", buckets)
+    cores = cut(parsed.where("core <> ''").select("core").distinct(), "cores")
+    ordered = next_in_order(cores, "core", buckets)
     shorter = ordered.where(F.col("following").startswith(F.col("core")) & (F.length("following") > F.length("core") + 1)).select("core", F.lit(True).alias("begins_other"))
 
     # lengths at which many more responses stop, without an end, than at the lengths around them: beyond chance, at any size
@@ -224,6 +225,8 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     inside = whole.join(phrases.select("last").distinct(), "last", "left_semi").distinct().withColumn("known", F.lit(True))
     begun = phrases.join(shorter, "core", "left").join(F.broadcast(spikes), "len", "left").join(inside, "last", "left")  # at most one spike a length
     begun = begun.where("begins_other OR spike OR known IS NULL AND NOT core RLIKE '[\\u3400-\\u9fff]'").select("pred_id", F.lit(True).alias("begun"))
+    begun = cut(begun, "begun")
+    forget(cores), forget(phrases)
 
     # languages: how often each word is in questions, then in answers to questions, of each language
     common = F.broadcast(common_words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", F.lower("word").alias("word")).distinct())  # a fixed list
@@ -233,18 +236,21 @@ def answer_defects(predictions: DataFrame, common_words: DataFrame, buckets: int
     # questions are short, so the answers' common words help to tell which language a word of theirs belongs to
     hits = asked.unionByName(told_words).join(common, "word").groupBy("pred_id", "lang").agg(F.count(F.lit(1)).alias("n"))
     sure = hits.groupBy("pred_id").agg(F.max(F.struct("n", "lang")).alias("best"), F.sort_array(F.collect_list("n"), False).alias("ns")).where("size(ns) = 1 OR ns[0] > ns[1]")
-    q_rates = word_rates(asked.join(sure.select("pred_id", F.col("best.lang").alias("lang")), "pred_id"))
+    q_rates = cut(word_rates(asked.join(sure.select("pred_id", F.col("best.lang").alias("lang")), "pred_id")), "rates")
     by_question = likelihoods(asked, q_rates, langs).select("pred_id", *[f"l_{x}" for x in langs])
     ordered_langs = F.sort_array(F.array(*[F.struct(F.col(f"l_{x}").alias("l"), F.lit(x).alias("lang")) for x in langs]), False)
     q_lang = by_question.select("pred_id", (ordered_langs[0]["lang"] if langs else F.lit(None).cast("string")).alias("latin_lang"))
-    with_lang = parsed.select("pred_id", "q_script", "script", "words").join(q_lang, "pred_id", "left")
+    with_lang = parsed.select("pred_id", "q_script", "script", F.size("words").alias("n_words")).join(q_lang, "pred_id", "left")
     with_lang = with_lang.withColumn("lang", F.when(F.col("q_script").isin("zh", "ru"), F.col("q_script")).otherwise(F.col("latin_lang"))).where("lang IS NOT NULL AND script <> ''")
+    with_lang = cut(with_lang.drop("latin_lang"), "languages")
+    forget(asked), forget(q_rates)
     latin = cut(told_words.join(with_lang.select("pred_id", "lang"), "pred_id"), "told")
-    told = likelihoods(latin, word_rates(latin), langs).join(latin.select("pred_id", "lang").distinct(), "pred_id")
+    forget(told_words)
+    told = likelihoods(latin, cut(word_rates(latin), "rates"), langs).join(latin.select("pred_id", "lang").distinct(), "pred_id")
     own = F.coalesce(*[F.when(F.col("lang") == x, F.col(f"l_{x}")) for x in langs], F.lit(0.0))
     best = F.array_max(F.array(*[F.col(f"l_{x}") for x in langs], F.lit(-1e9)))
-    foreign = told.where((F.col("n") >= 2) & (best - own > 2.0)).select("pred_id").unionByName(with_lang.where("(script = 'latin' AND q_script <> 'latin' AND size(words) >= 2) OR (script <> 'latin' AND script <> q_script)").select("pred_id"))
-    foreign = foreign.distinct().withColumn("foreign", F.lit(True))
+    foreign = told.where((F.col("n") >= 2) & (best - own > 2.0)).select("pred_id").unionByName(with_lang.where("(script = 'latin' AND q_script <> 'latin' AND n_words >= 2) OR (script <> 'latin' AND script <> q_script)").select("pred_id"))
+    foreign = cut(foreign.distinct().withColumn("foreign", F.lit(True)), "foreign")
 
     judged = parsed.select("pred_id", "kind").join(begun, "pred_id", "left").join(foreign, "pred_id", "left")
     stopped = F.expr("kind = 'cut' OR kind = 'open' OR begun")

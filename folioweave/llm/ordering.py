@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,13 @@ def text_buckets(df: DataFrame, column: str, buckets: int | None) -> DataFrame:
     sample = df.where(F.pmod(F.xxhash64(column), F.lit(keep)) == 0).select(F.substring(column, 1, 200).alias("t")).limit(4 * BOUND_SAMPLE)
     ranked = sorted(r.t for r in sample.collect() if r.t is not None)
     bounds = sorted({ranked[i * len(ranked) // buckets] for i in range(1, buckets)}) if ranked else []
-    # Python sorts strings by code point, which is also the order of their UTF-8 bytes
-    return df.withColumn("bucket", F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (F.col(column) >= b).cast("int")) if bounds else F.lit(0))
+
+    # the bounds go with the function, not into the plan, whose text the driver would hold with all of them once a stage
+    @F.pandas_udf("int")
+    def place(texts: pd.Series) -> pd.Series:  # Python sorts strings by code point, which is also the order of their UTF-8 bytes
+        return pd.Series([None if t is None else bisect_right(bounds, t) for t in texts], dtype="Int32")
+
+    return df.withColumn("bucket", place(column) if bounds else F.lit(0))
 
 
 def next_in_order(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:

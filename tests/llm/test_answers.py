@@ -1,7 +1,7 @@
 import pytest
 
 from folioweave.llm.answers import answer_defects, copied, empty_answer, ending, refusal
-from folioweave.llm.ordering import next_in_order, upper_ranks
+from folioweave.llm.ordering import next_in_order, text_buckets, upper_ranks
 
 COMMON = [("en", w) for w in "the of and to in was when did what who".split()] + [("fr", w) for w in "le la les de des du dans que quand".split()] + [("de", w) for w in "der die das und in den was wer".split()] + [("es", w) for w in "el la los de del en que cuando".split()] + [("zh", "的"), ("ru", "и")]
 
@@ -92,3 +92,20 @@ def test_neighbours_and_ranks(spark):
     for r in upper_ranks(spark.createDataFrame(values, "k string, v double"), ["k"], "v", 5).collect():
         own = [v for k, v in values if k == r.k]
         assert (r.n_le, r.n_ge, r.n) == (sum(v <= r.v for v in own), sum(v >= r.v for v in own), len(own))
+
+
+def test_bounds_of_buckets_stay_out_of_the_plan(spark):
+    texts = [f"{'aй的'[i % 3]}{i:04d}" for i in range(600)] + ["", None]
+    bucketed = text_buckets(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), "t", 300)
+    plan = bucketed._jdf.queryExecution().toString()
+    assert not any(t in plan for t in texts if t)
+    rows = sorted((r.t.encode(), r.bucket) for r in bucketed.collect() if r.t is not None)
+    assert [b for _, b in rows] == sorted(b for _, b in rows) and len({b for _, b in rows}) > 250
+    assert [r.bucket for r in bucketed.where("t IS NULL").collect()] == [None]
+
+
+def test_no_part_waits_in_the_last_plan(spark):
+    rows = [(i, "What did the man do when the road was flooded?", None, f"{'the baker sold the old clock'[: 10 + i]}") for i in range(12)]
+    frame = spark.createDataFrame(rows, "pred_id bigint, question string, options array<string>, raw_llm_output string")
+    found = answer_defects(frame, spark.createDataFrame(COMMON, "lang string, word string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
