@@ -128,3 +128,43 @@ def test_components(spark):
     found = {r.id: r.label for r in minimum_labels(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert found == {x: find(x) for x in list(parent)}
     assert minimum_labels(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_blocks_scanned_together_are_read_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from folioweave.llm import neighbours
+
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((240, 8)).astype(np.float32)
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    index = neighbours._Index(np.eye(8), units[:6].astype(np.float64))
+    index.first, index.bound, index.path = np.arange(6), 50.0, f"file://{tmp_path}"
+    lists = np.arange(240) % 6
+    for b in range(5):  # the sixth block has no rows
+        at = np.flatnonzero(lists == b)
+        (tmp_path / f"block={b}").mkdir()
+        pq.write_table(pa.table({"key": pa.array(at), "v": pa.array([v.tobytes() for v in vectors[at]], pa.binary()), "list": pa.array(lists[at].astype(np.int32))}), tmp_path / f"block={b}" / "p.parquet")
+    read, block = [], neighbours._Block
+    monkeypatch.setattr(neighbours, "KEPT", 1)
+    monkeypatch.setattr(neighbours, "_Block", lambda index, number: read.append(number) or block(index, number))
+    found = {r.rep: list(r.near) for part in neighbours._scan(index, [1, 2, 3, 5], 4) for r in part.itertuples()}
+    assert max(read.count(b) for b in (0, 4)) == 1 and len(read) <= 10
+    stored = np.flatnonzero(lists < 5)
+    for rep in np.flatnonzero((lists >= 1) & (lists <= 3)):
+        cosines = {int(x): round(float(units[rep] @ units[x]), 6) for x in stored if x != rep}
+        wanted = sorted(cosines, key=lambda x: (-cosines[x], x))[:4]
+        assert [cosines[x] for x in found.pop(rep)] == pytest.approx([cosines[x] for x in wanted], abs=2e-6)
+    assert not found
+
+
+def test_groups_of_blocks_fit_memory_and_cores():
+    from folioweave.llm import neighbours
+
+    index = neighbours._Index(np.eye(4), np.eye(4)[np.zeros(4096, int)])
+    index.first = np.zeros(4096, np.int64)
+    for blocks, cores, most in ((50, 6, 1), (5700, 6, 16), (10**6, 6, 16)):
+        index.first[-1] = blocks - 1
+        together = neighbours._together(index, cores)
+        assert 1 <= together <= most and together * neighbours.BLOCK * 4096 <= neighbours.REACHES and (together > 1) == (blocks > 50)
