@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioweave.config import Adaptive
 from folioweave.operators import graph
 from folioweave.operators.questions import dense, entity_overlap
-from folioweave.session import cut
+from folioweave.session import by_shuffle, stage
 
 
 def entity_pairs(entities: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def entity_pairs(entities: DataFrame) -> DataFrame:
 def near_pairs(pairs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """pairs with d, kept if their shortest path has at most k hops."""
     found = graph.pair_distances(pairs.select("book_id", "a", "b").distinct(), edges, k)
-    return pairs.join(found.where(F.col("d") <= k), ["book_id", "a", "b"])
+    return pairs.join(by_shuffle(found.where(F.col("d") <= k)), ["book_id", "a", "b"])
 
 
 def single_chunks(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def pair_chunks(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     indexed = mentions.select("book_id", "entity").distinct()
     known = ends.join(indexed, ["book_id", "entity"], "left_semi").groupBy("qid", "a", "b").agg(F.countDistinct("entity").alias("n_known"))
     shared = found.groupBy("qid", "a", "b", "d", "chunk_id").agg(F.countDistinct("entity").alias("n"))
-    return shared.join(known, ["qid", "a", "b"]).where("n = n_known").select("qid", "a", "b", "d", "chunk_id")
+    return shared.join(by_shuffle(known), ["qid", "a", "b"]).where("n = n_known").select("qid", "a", "b", "d", "chunk_id")
 
 
 def merge_keys(keyed: DataFrame) -> DataFrame:
@@ -100,15 +100,15 @@ def retrieve(questions: DataFrame, entities: DataFrame, mentions: DataFrame, edg
     order ('Global'); those with local candidates take these ('Local', with the number of tightening steps); the rest rank
     the dense pool by shared entities ('Occurrence Rerank')."""
     config = config or Adaptive()
-    entities = cut(entities, "entities")
-    candidates = cut(local(entities, near_pairs(entity_pairs(entities), edges, config.shortest_path_k), mentions, config.shortest_path_k), "local")
-    ended = cut(tighten(candidates, config), "ended")
+    entities = stage(entities, "entities")
+    candidates = stage(local(entities, near_pairs(entity_pairs(entities), edges, config.shortest_path_k), mentions, config.shortest_path_k), "local")
+    ended = stage(tighten(candidates, config), "ended")
     named = entities.select("qid").distinct()
     global_q = questions.join(named, "qid", "left_anti")
     occurrence_q = questions.join(named, "qid", "left_semi").join(ended.select("qid"), "qid", "left_anti")
     empty = F.array().cast("array<string>")
     asked = global_q.withColumn("named", F.lit(False)).unionByName(occurrence_q.withColumn("named", F.lit(True)))
-    found = cut(dense(asked, node_texts, max(config.max_chunks, config.dense_pool)).join(asked.select("qid", "book_id", "named"), "qid"), "dense")  # one search for both
+    found = stage(dense(asked, node_texts, max(config.max_chunks, config.dense_pool)).join(by_shuffle(asked.select("qid", "book_id", "named")), "qid"), "dense")  # one search for both
     all_dense = found.where(~F.col("named") & (F.col("place") <= config.max_chunks)).select("qid", F.lit("Global").alias("mode"), "node_id", empty.alias("key"), "place", F.lit("").alias("history"))
     pool = found.where(F.col("named") & (F.col("place") <= config.dense_pool))
     ranked = occurrence(entity_overlap(pool, entities, node_entities), config.max_chunks).select("qid", F.lit("Occurrence Rerank").alias("mode"), "node_id", "key", "place", F.lit("").alias("history"))

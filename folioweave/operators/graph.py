@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as X
-from folioweave.session import cut
+from folioweave.session import by_shuffle, cut, stage
 
 
 def normalise(edges: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def distances(starts: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     """(book_id, start, node, d): the nodes at each least number of hops 0 .. `hops` from each start (book_id, start),
     over edges without direction. All starts of all books go one hop at a time; a hop keeps nodes not seen before and is
     written, so the next one recomputes nothing. It stops early when a hop reaches nothing new."""
-    links = cut(undirected(edges), "links")
-    seen = cut(starts.select("book_id", "start").distinct().select("book_id", "start", F.col("start").alias("node"), F.lit(0).alias("d")), "hop0")
+    links = stage(undirected(edges), "links")
+    seen = stage(starts.select("book_id", "start").distinct().select("book_id", "start", F.col("start").alias("node"), F.lit(0).alias("d")), "hop0")
     frontier = seen
     for d in range(1, hops + 1):
         reached = frontier.select("book_id", "start", F.col("node").alias("a")).join(links, ["book_id", "a"]).select("book_id", "start", F.col("b").alias("node")).distinct()
-        frontier = cut(reached.join(seen.select("book_id", "start", "node"), ["book_id", "start", "node"], "left_anti").withColumn("d", F.lit(d)), f"hop{d}")
+        frontier = stage(reached.join(by_shuffle(seen.select("book_id", "start", "node")), ["book_id", "start", "node"], "left_anti").withColumn("d", F.lit(d)), f"hop{d}")
         seen = seen.unionByName(frontier)
         if frontier.limit(1).count() == 0:
             break
@@ -75,12 +75,12 @@ def pair_distances(pairs: DataFrame, edges: DataFrame, hops: int = 4) -> DataFra
     other in the rest, so the neighbourhoods joined are those of half the depth."""
     half = (hops + 1) // 2
     ends = pairs.select("book_id", F.explode(F.array("a", "b")).alias("start"))
-    reached = cut(distances(ends, edges, half), "half")
+    reached = stage(distances(ends, edges, half), "half")
     one = reached.select("book_id", F.col("start").alias("a"), "node", F.col("d").alias("da"))
     two = reached.where(F.col("d") <= hops - half).select("book_id", F.col("start").alias("b"), "node", F.col("d").alias("db"))
     known = pairs.select("book_id", "a", "b").distinct()
-    met = known.join(one, ["book_id", "a"]).join(two, ["book_id", "b", "node"]).groupBy("book_id", "a", "b").agg(F.min(F.col("da") + F.col("db")).alias("d"))
-    return pairs.join(met, ["book_id", "a", "b"], "left")
+    met = known.join(by_shuffle(one), ["book_id", "a"]).join(by_shuffle(two), ["book_id", "b", "node"]).groupBy("book_id", "a", "b").agg(F.min(F.col("da") + F.col("db")).alias("d"))
+    return pairs.join(by_shuffle(met), ["book_id", "a", "b"], "left")
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:

@@ -12,7 +12,7 @@ from folioweave.functions import text as X
 from folioweave.operators import adaptive, chunking, postings, region, relations, tree
 from folioweave.operators.questions import question_entities
 from folioweave.prompts import ANSWER, fill
-from folioweave.session import cut
+from folioweave.session import cut, stage
 from folioweave.sources import readers
 
 
@@ -77,7 +77,7 @@ def answered(questions: DataFrame, contexts: DataFrame, models, fallback: Column
     rows = questions.join(contexts, "qid", "left").withColumn("evidence", F.coalesce("context", F.lit("")))
     listed = F.when(F.size("options") > 0, F.concat("question", F.lit("\nOptions:\n"), X.format_options(F.col("options")))).otherwise(F.col("question"))
     asked = rows.withColumn("prompt", fill(ANSWER, question=listed, evidence=F.col("evidence")))
-    told = cut(models.answer(asked), "answers")  # a model is asked once
+    told = stage(models.answer(asked), "answers")  # a model is asked once
     letters = F.when(F.size("options") > 0, X.parse_answer(F.col("raw"))).otherwise(X.strip(F.col("raw")))
     info = F.struct(F.coalesce("type", F.lit("none")).alias("type"), F.coalesce("history", F.lit("")).alias("history"), F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"))
     return told.select("qid", "book_id", "question", "options", "ground_truth", X.truth_text(F.col("ground_truth"), F.col("options"), fallback).alias("ground_truth_text"), letters.alias("prediction"), F.col("raw").alias("raw_llm_output"), "evidence", "prompt", info.alias("retrieval_info"))
@@ -86,9 +86,9 @@ def answered(questions: DataFrame, contexts: DataFrame, models, fallback: Column
 def evaluate_adaptive(questions: DataFrame, index: Index, models, config: Adaptive | None = None, done: DataFrame | None = None, mode: str = "all", start: int = 0, end: int = 0) -> DataFrame:
     """Answers by C1 of the questions (qid, book_id, question, options, ground_truth). Books in `done` are left out; `mode`
     picks books by number as `run_range` does."""
-    asked = cut(_chosen_books(unfinished(questions, done), mode, start, end), "questions")
-    entities = cut(question_entities(asked, index.mentions), "entities")
-    evidence = cut(adaptive.retrieve(asked, entities, index.mentions, index.edges, index.texts, index.node_entities, config), "evidence")
+    asked = stage(_chosen_books(unfinished(questions, done), mode, start, end), "questions")
+    entities = stage(question_entities(asked, index.mentions), "entities")
+    evidence = stage(adaptive.retrieve(asked, entities, index.mentions, index.edges, index.texts, index.node_entities, config), "evidence")
     context = adaptive.context(evidence, asked, index.texts)
     contexts = adaptive.result(evidence).select("qid", F.col("mode").alias("type"), "history", "chunk_ids").join(context, "qid", "left")
     return answered(asked, contexts, models, F.col("ground_truth"))
@@ -96,8 +96,8 @@ def evaluate_adaptive(questions: DataFrame, index: Index, models, config: Adapti
 
 def evaluate_region(questions: DataFrame, index: Index, models, config: Region | None = None, mode: str = "all", start: int = 0, end: int = 0) -> DataFrame:
     """Answers by C2, for all books anew."""
-    asked = cut(_chosen_books(questions, mode, start, end), "questions")
-    entities = cut(question_entities(asked, index.mentions), "entities")
+    asked = stage(_chosen_books(questions, mode, start, end), "questions")
+    entities = stage(question_entities(asked, index.mentions), "entities")
     found = region.result(region.Stages(asked, entities, index.mentions, index.edges, index.texts, index.chunks, index.leaves, index.node_entities, config))
     contexts = found.select("qid", F.col("mode").alias("type"), F.lit("").alias("history"), "chunk_ids", "context")
     return answered(asked, contexts, models, F.lit(""))

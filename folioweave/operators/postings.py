@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as X
+from folioweave.session import by_shuffle
 
 
 def extract_mentions(recognised: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def entity_chunks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def node_entities(node_leaves: DataFrame, mentions: DataFrame) -> DataFrame:
     """(book_id, node_id, entity): the entities of a node's leaves, each once."""
-    return node_leaves.join(mentions, ["book_id", "chunk_id"]).select("book_id", "node_id", "entity").distinct()
+    return node_leaves.join(by_shuffle(mentions), ["book_id", "chunk_id"]).select("book_id", "node_id", "entity").distinct()
 
 
 def node_entity_lists(nodes: DataFrame, bridge: DataFrame) -> DataFrame:

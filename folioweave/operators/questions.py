@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as X
 from folioweave.functions import vectors as V
 from folioweave.operators.search import top_k
+from folioweave.session import by_shuffle
 
 #: Longest entity, in words, that the stand-in recogniser finds in a question.
 LONGEST = 8
@@ -23,7 +24,7 @@ def question_entities(questions: DataFrame, mentions: DataFrame) -> DataFrame:
     runs = starts.select("qid", "book_id", "pos", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("w") - F.col("pos")))).alias("n"))
     grams = runs.select("qid", "book_id", "pos", F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ").alias("entity"))
     known = mentions.select("book_id", "entity").distinct()
-    return grams.join(known, ["book_id", "entity"]).groupBy("qid", "book_id", "entity").agg(F.min("pos").alias("pos"))
+    return grams.join(by_shuffle(known), ["book_id", "entity"]).groupBy("qid", "book_id", "entity").agg(F.min("pos").alias("pos"))
 
 
 def dense(questions: DataFrame, node_texts: DataFrame, k: int) -> DataFrame:
@@ -35,10 +36,13 @@ def dense(questions: DataFrame, node_texts: DataFrame, k: int) -> DataFrame:
 
 def entity_overlap(candidates: DataFrame, entities: DataFrame, node_entities: DataFrame) -> DataFrame:
     """candidates (qid, book_id, node_id, ...) with `overlap`, the number of the question's entities the node has, and
-    `entity_list`, those entities sorted."""
-    hits = candidates.select("qid", "book_id", "node_id").distinct().join(node_entities, ["book_id", "node_id"]).join(entities.select("qid", "book_id", "entity"), ["qid", "book_id", "entity"])
-    lists = hits.groupBy("qid", "node_id").agg(F.array_sort(F.collect_set("entity")).alias("entity_list"))
-    joined = candidates.join(lists, ["qid", "node_id"], "left")
+    `entity_list`, those entities sorted. Lists are compared, so that no pair of a candidate and an entity is shuffled; a
+    question is of one book."""
+    asked = entities.groupBy("qid", "book_id").agg(F.collect_set("entity").alias("asked"))
+    held = node_entities.groupBy("book_id", "node_id").agg(F.collect_set("entity").alias("held"))
+    pairs = candidates.select("qid", "book_id", "node_id").distinct().join(by_shuffle(asked), ["qid", "book_id"]).join(by_shuffle(held), ["book_id", "node_id"])
+    lists = pairs.select("qid", "node_id", F.array_sort(F.array_intersect("asked", "held")).alias("entity_list")).where("size(entity_list) > 0")
+    joined = candidates.join(by_shuffle(lists), ["qid", "node_id"], "left")
     return joined.withColumn("entity_list", F.coalesce("entity_list", F.array().cast("array<string>"))).withColumn("overlap", F.size("entity_list"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioweave.config import Region
 from folioweave.operators.questions import dense, distinct_tokens, entity_overlap, share_of, token_sets
-from folioweave.session import cut
+from folioweave.session import by_shuffle, stage
 
 
 def tree_prune(questions: DataFrame, node_texts: DataFrame, tokens: DataFrame, config: Region, rerank: bool = True) -> DataFrame:
@@ -18,7 +18,7 @@ def tree_prune(questions: DataFrame, node_texts: DataFrame, tokens: DataFrame, c
     `top_m`. Leaves are dropped after the search, as the index holds them too, so fewer than `top_m` may be left."""
     found = dense(questions, node_texts, config.top_m * config.search_factor).where(~F.col("node_id").startswith("L0_"))
     asked = questions.select("qid", "book_id", distinct_tokens(F.col("question")).alias("asked"))
-    joined = found.join(asked, "qid").join(tokens, ["book_id", "node_id"])
+    joined = found.join(by_shuffle(asked), "qid").join(by_shuffle(tokens), ["book_id", "node_id"])
     scored = joined.withColumn("score", share_of(F.col("asked"), F.col("tokens")) if rerank else F.col("cos"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "node_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.top_m).select("qid", "book_id", "node_id", "score", "place")
@@ -59,7 +59,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, in_region: DataFrame, chunks: D
         found = step if found is None else found.unionByName(step).distinct()
         if hops > 1:
             known = frontier if known is None else known.unionByName(frontier)
-            frontier = cut(step.select("qid", "book_id", F.col("target").alias("s")).distinct().join(known, ["qid", "book_id", "s"], "left_anti"), "frontier")
+            frontier = stage(step.select("qid", "book_id", F.col("target").alias("s")).distinct().join(known, ["qid", "book_id", "s"], "left_anti"), "frontier")
     return found
 
 
@@ -73,12 +73,12 @@ def candidates(records: DataFrame, closed: DataFrame, mentions: DataFrame, chunk
     """(qid, book_id, node_id, sources, is_edge_evidence): chunks of edge evidence, and of each visited entity its
     first `per_entity` chunks in the region; those without text are dropped. texts: book_id, chunk_id, ord, text."""
     from_edges = records.select("qid", "book_id", F.explode("evidence").alias("chunk_id")).distinct().withColumn("origin", F.lit("edge"))
-    placed = closed.join(mentions, ["book_id", "entity"]).join(chunks, ["qid", "book_id", "chunk_id"], "left_semi").join(texts.select("book_id", "chunk_id", "ord"), ["book_id", "chunk_id"])
+    placed = closed.join(mentions, ["book_id", "entity"]).join(chunks, ["qid", "book_id", "chunk_id"], "left_semi").join(by_shuffle(texts.select("book_id", "chunk_id", "ord")), ["book_id", "chunk_id"])
     order = Window.partitionBy("qid", "entity").orderBy("ord", "chunk_id")
     from_entities = placed.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_entity).select("qid", "book_id", "chunk_id").distinct().withColumn("origin", F.lit("entity"))
     merged = from_edges.unionByName(from_entities).groupBy("qid", "book_id", "chunk_id").agg(F.array_sort(F.collect_set("origin")).alias("sources"), F.bool_or(F.col("origin") == "edge").alias("is_edge_evidence"))
     with_text = texts.where("text IS NOT NULL AND text <> ''").select("book_id", "chunk_id")
-    return merged.join(with_text, ["book_id", "chunk_id"], "left_semi").withColumnRenamed("chunk_id", "node_id")
+    return merged.join(by_shuffle(with_text), ["book_id", "chunk_id"], "left_semi").withColumnRenamed("chunk_id", "node_id")
 
 
 def prerank(rows: DataFrame, pool: int) -> DataFrame:
@@ -90,14 +90,14 @@ def prerank(rows: DataFrame, pool: int) -> DataFrame:
 def rerank(rows: DataFrame, questions: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     """The k candidates of highest reranker score with their place; ties by the first ranking."""
     asked = questions.select("qid", distinct_tokens(F.col("question")).alias("asked"))
-    scored = rows.join(tokens, ["book_id", "node_id"]).join(asked, "qid").withColumn("score", share_of(F.col("asked"), F.col("tokens"))).drop("asked", "tokens")
+    scored = rows.join(by_shuffle(asked), "qid").join(by_shuffle(tokens), ["book_id", "node_id"]).withColumn("score", share_of(F.col("asked"), F.col("tokens"))).drop("asked", "tokens")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "pre")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def region_candidates(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     """Tree-only candidates: all chunks of the region with text."""
-    rows = chunks.join(texts.where("text IS NOT NULL AND text <> ''").select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_semi")
+    rows = chunks.join(by_shuffle(texts.where("text IS NOT NULL AND text <> ''").select("book_id", "chunk_id")), ["book_id", "chunk_id"], "left_semi")
     return rows.select("qid", "book_id", F.col("chunk_id").alias("node_id"), F.array(F.lit("region")).alias("sources"), F.lit(False).alias("is_edge_evidence"))
 
 
@@ -111,26 +111,26 @@ class Stages:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return cut(token_sets(self.node_texts), "tokens")
+        return stage(token_sets(self.node_texts), "tokens")
 
     @cached_property
     def selected(self) -> DataFrame:
-        return cut(tree_prune(self.questions, self.node_texts, self.tokens, self.config), "selected")
+        return stage(tree_prune(self.questions, self.node_texts, self.tokens, self.config), "selected")
 
     @cached_property
     def chunks(self) -> DataFrame:
         rows = region_chunks(self.selected, self.leaves)
         if self.config.strict_reference_ids:  # region ids lose their prefix while all other tables keep it, as in the reference
             rows = rows.withColumn("chunk_id", F.regexp_replace("chunk_id", "^L0_", ""))
-        return cut(rows, "chunks")
+        return stage(rows, "chunks")
 
     @cached_property
     def entities(self) -> DataFrame:
-        return cut(region_entities(self.selected, self.node_entities), "region_entities")
+        return stage(region_entities(self.selected, self.node_entities), "region_entities")
 
     @cached_property
     def seeds_direct(self) -> DataFrame:
-        return cut(seeds_found(self.given, self.entities), "direct")
+        return stage(seeds_found(self.given, self.entities), "direct")
 
     @cached_property
     def seeds_frequent(self) -> DataFrame:
@@ -138,11 +138,11 @@ class Stages:
 
     @cached_property
     def seeds(self) -> DataFrame:
-        return cut(self.seeds_direct.unionByName(self.seeds_frequent.drop("freq")), "seeds")
+        return stage(self.seeds_direct.unionByName(self.seeds_frequent.drop("freq")), "seeds")
 
     @cached_property
     def records(self) -> DataFrame:
-        return cut(traverse(self.seeds, self.edges, self.entities, self.chunks, self.config.max_hops), "records")
+        return stage(traverse(self.seeds, self.edges, self.entities, self.chunks, self.config.max_hops), "records")
 
     @cached_property
     def visited(self) -> DataFrame:
@@ -151,7 +151,7 @@ class Stages:
     @cached_property
     def candidates(self) -> DataFrame:
         found = candidates(self.records, self.visited, self.mentions, self.chunks, self.texts, self.config.mentions_per_entity)
-        return cut(entity_overlap(found, self.given, self.node_entities), "candidates")
+        return stage(entity_overlap(found, self.given, self.node_entities), "candidates")
 
     @cached_property
     def route(self) -> DataFrame:
@@ -161,7 +161,7 @@ class Stages:
             counts = counts.join(counted(rows, name), "qid", "left")
         counts = counts.fillna(0, ["n_seeds", "n_candidates", "n_region", "n_relations"])
         mode = F.when(F.col("n_seeds") < self.config.min_seeds, "fallback_no_seeds").when(F.col("n_candidates") < self.config.min_candidates, "fallback_no_candidates").otherwise("graph_traversal")
-        return cut(counts.withColumn("mode", mode), "route")
+        return stage(counts.withColumn("mode", mode), "route")
 
     @cached_property
     def fallback(self) -> DataFrame:
@@ -172,7 +172,7 @@ class Stages:
     def pool(self) -> DataFrame:
         walked = self.candidates.join(self.route.where("mode = 'graph_traversal'").select("qid"), "qid", "left_semi")
         columns = ["qid", "book_id", "node_id", "sources", "is_edge_evidence", "overlap"]
-        return prerank(walked.select(*columns).unionByName(self.fallback.select(*columns)), self.config.candidate_pool)
+        return stage(prerank(walked.select(*columns).unionByName(self.fallback.select(*columns)), self.config.candidate_pool), "pool")
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -182,6 +182,6 @@ class Stages:
 def result(stages: Stages) -> DataFrame:
     """One row a question: mode, counts, chunk ids and context in final order; questions without evidence have none."""
     ordered = F.array_sort(F.collect_list(F.struct("place", "node_id", "text")))
-    final = stages.ranked.join(stages.texts.select("book_id", F.col("chunk_id").alias("node_id"), "text"), ["book_id", "node_id"])
+    final = stages.ranked.join(by_shuffle(stages.texts.select("book_id", F.col("chunk_id").alias("node_id"), "text")), ["book_id", "node_id"])
     texts = final.groupBy("qid").agg(ordered.alias("o")).select("qid", F.array_join(F.transform("o", lambda x: x["node_id"]), ",").alias("chunk_ids"), F.array_join(F.transform("o", lambda x: x["text"]), "\n\n").alias("context"))
     return stages.route.join(texts, "qid", "left").select("qid", "mode", "n_seeds", "n_region", "n_relations", "n_candidates", F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"), F.coalesce("context", F.lit("")).alias("context"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.session import by_shuffle
+
 #: Query rows that one task holds at a time.
 QUERY_BLOCK = 4096
 #: Rows of a book that one task compares with a block of its queries.
@@ -20,23 +22,25 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, book: str | None = None,
     The queries are the stated side. The queries and the rows of a book, or of all without one, are cut into blocks and
     each two blocks are compared in one task, which keeps k a query; the driver holds none. No pair beyond those is
     shuffled. Vectors of length zero are at cosine 0."""
-    if book is None:
+    several = book is not None
+    if not several:
         book = "book__"
         queries, rows = queries.withColumn(book, F.lit("")), rows.withColumn(book, F.lit(""))
-    pairs = _bookwise(queries, rows, book, k + int(exclude_self))
+    pairs = _bookwise(queries, rows, book, k + int(exclude_self), several)
     if exclude_self:
         pairs = pairs.where("qid <> id")
     order = Window.partitionBy("qid").orderBy(F.desc("cos"), "id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("qid", "id", "cos", "place")
 
 
-def _bookwise(queries: DataFrame, rows: DataFrame, book: str, k: int) -> DataFrame:
+def _bookwise(queries: DataFrame, rows: DataFrame, book: str, k: int, several: bool) -> DataFrame:
     kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
     asked = queries.select(F.col(book).alias("book"), "qid", "qv").where("qv IS NOT NULL AND book IS NOT NULL")
     given = rows.select(F.col(book).alias("book"), "id", "v").where("v IS NOT NULL AND book IS NOT NULL")
     q_blocks = asked.groupBy("book").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("nq"))
     r_blocks = given.groupBy("book").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).alias("nr"))
-    blocks = q_blocks.join(r_blocks, "book")
+    blocks = q_blocks.join(by_shuffle(r_blocks), "book")
+    blocks = by_shuffle(blocks) if several else blocks
     left = asked.join(blocks, "book").select("book", "qid", "qv", F.pmod(F.xxhash64("qid"), F.col("nq")).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nr") - 1)).alias("rb"))
     right = given.join(blocks, "book").select("book", "id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), F.col("nr")).alias("rb"))
 

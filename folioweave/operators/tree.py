@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.config import Indexing
-from folioweave.session import cut
+from folioweave.session import by_shuffle, cut
 
 
 def leaf_nodes(chunks: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def leaf_rollup(edges: DataFrame, leaves: DataFrame, levels: int) -> DataFrame:
     reached = leaves.select("book_id", "node_id", F.col("node_id").alias("chunk_id"))
     every = reached
     for _ in range(levels):
-        up = edges.join(reached.withColumnRenamed("node_id", "child_id"), ["book_id", "child_id"]).select("book_id", F.col("parent_id").alias("node_id"), "chunk_id").distinct()
-        reached = cut(up.join(every, ["book_id", "node_id", "chunk_id"], "left_anti"), "rollup")
+        up = edges.join(by_shuffle(reached.withColumnRenamed("node_id", "child_id")), ["book_id", "child_id"]).select("book_id", F.col("parent_id").alias("node_id"), "chunk_id").distinct()
+        reached = cut(up.join(by_shuffle(every), ["book_id", "node_id", "chunk_id"], "left_anti"), "rollup")
         every = every.unionByName(reached)
     return every.distinct()
 
@@ -215,7 +215,7 @@ def summary_input(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_texts(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Nodes with text: a leaf's is its chunk's."""
-    joined = nodes.select("book_id", "node_id", "level", F.col("text").alias("own")).join(chunks.select("book_id", F.col("chunk_id").alias("node_id"), F.col("text").alias("chunk_text")), ["book_id", "node_id"], "left")
+    joined = nodes.select("book_id", "node_id", "level", F.col("text").alias("own")).join(by_shuffle(chunks.select("book_id", F.col("chunk_id").alias("node_id"), F.col("text").alias("chunk_text"))), ["book_id", "node_id"], "left")
     return joined.select("book_id", "node_id", "level", F.coalesce("own", "chunk_text").alias("text"))
 
 

@@ -14,7 +14,7 @@ from folioweave.plans.registry import query
 from folioweave.plans.retrieval_queries import C2_SQL, EVIDENCE_SQL
 from folioweave.prompts import ANSWER, fill_sql
 from folioweave.seams import StandIns
-from folioweave.session import cut, table
+from folioweave.session import cut, stage, table
 
 MODELS = StandIns()
 
@@ -88,9 +88,9 @@ def idx_books(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> pipelines.Index:
     """The stored artifacts as an index."""
-    leaves, mentions = cut(load(spark, d, "leaves"), "leaves"), cut(load(spark, d, "mentions"), "mentions")
-    bridge = cut(postings.node_entities(leaves, mentions), "bridge")
-    return pipelines.Index(load(spark, d, "chunks"), cut(load(spark, d, "node_texts"), "texts"), load(spark, d, "tree_edges"), leaves, mentions, bridge, load(spark, d, "graph"))
+    leaves, mentions = stage(load(spark, d, "leaves"), "leaves"), stage(load(spark, d, "mentions"), "mentions")
+    bridge = stage(postings.node_entities(leaves, mentions), "bridge")
+    return pipelines.Index(load(spark, d, "chunks"), stage(load(spark, d, "node_texts"), "texts"), load(spark, d, "tree_edges"), leaves, mentions, bridge, load(spark, d, "graph"))
 
 
 _LISTED = f"CASE WHEN len(options) > 0 THEN question || chr(10) || 'Options:' || chr(10) || {X.Sql.format_options('options')} ELSE question END"

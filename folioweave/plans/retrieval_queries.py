@@ -12,7 +12,7 @@ from folioweave.operators import adaptive, metrics, region, views
 from folioweave.operators.questions import dense, entity_overlap, question_entities, token_overlap_sql, token_sets
 from folioweave.plans.index_queries import BFS_SQL, NODE_ENTITY_SQL, load
 from folioweave.plans.registry import query
-from folioweave.session import cut, table
+from folioweave.session import stage, table
 
 C1 = Adaptive()
 C2 = Region()
@@ -46,22 +46,22 @@ UNION ALL SELECT lr.qid, CASE WHEN loops > 0 THEN 'Local, Loop for ' || loops ||
 
 def _c1(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The inputs of C1 over all its questions."""
-    questions = cut(views.questions(table(spark, d, "predictions"), "C1"), "questions")
-    mentions = cut(load(spark, d, "mentions"), "mentions")
-    return {"questions": questions, "mentions": mentions, "entities": cut(question_entities(questions, mentions), "entities")}
+    questions = stage(views.questions(table(spark, d, "predictions"), "C1"), "questions")
+    mentions = stage(load(spark, d, "mentions"), "mentions")
+    return {"questions": questions, "mentions": mentions, "entities": stage(question_entities(questions, mentions), "entities")}
 
 
 def _c1_local(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     t = _c1(spark, d)
-    near = cut(adaptive.near_pairs(adaptive.entity_pairs(t["entities"]), load(spark, d, "graph"), C1.shortest_path_k), "near")
-    return t, near, cut(adaptive.local(t["entities"], near, t["mentions"], C1.shortest_path_k), "local")
+    near = stage(adaptive.near_pairs(adaptive.entity_pairs(t["entities"]), load(spark, d, "graph"), C1.shortest_path_k), "near")
+    return t, near, stage(adaptive.local(t["entities"], near, t["mentions"], C1.shortest_path_k), "local")
 
 
 def _c1_evidence(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     t = _c1(spark, d)
-    t["texts"] = cut(load(spark, d, "node_texts"), "texts")
+    t["texts"] = stage(load(spark, d, "node_texts"), "texts")
     evidence = adaptive.retrieve(t["questions"], t["entities"], t["mentions"], load(spark, d, "graph"), t["texts"], load(spark, d, "node_entities"), C1)
-    return t, cut(evidence, "evidence")
+    return t, stage(evidence, "evidence")
 
 
 def _joined(df: DataFrame, column: str = "key") -> DataFrame:
@@ -184,18 +184,18 @@ rr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid
 
 
 def _c2(spark: SparkSession, d: str) -> region.Stages:
-    questions = cut(views.questions(table(spark, d, "predictions"), "C2"), "questions")
-    mentions = cut(load(spark, d, "mentions"), "mentions")
-    entities = cut(question_entities(questions, mentions), "entities")
-    leaves = cut(load(spark, d, "leaves"), "leaves")
-    bridge = cut(leaves.join(mentions, ["book_id", "chunk_id"]).select("book_id", "node_id", "entity").distinct(), "bridge")
+    questions = stage(views.questions(table(spark, d, "predictions"), "C2"), "questions")
+    mentions = stage(load(spark, d, "mentions"), "mentions")
+    entities = stage(question_entities(questions, mentions), "entities")
+    leaves = stage(load(spark, d, "leaves"), "leaves")
+    bridge = stage(leaves.join(mentions, ["book_id", "chunk_id"]).select("book_id", "node_id", "entity").distinct(), "bridge")
     chunks = load(spark, d, "chunks")
-    return region.Stages(questions, entities, mentions, load(spark, d, "graph"), cut(load(spark, d, "node_texts"), "node_texts"), chunks, leaves, bridge, C2)
+    return region.Stages(questions, entities, mentions, load(spark, d, "graph"), stage(load(spark, d, "node_texts"), "node_texts"), chunks, leaves, bridge, C2)
 
 
 @query(SELECTED_SQL + " SELECT qid, node_id, score, place FROM sl", recursive=True)
 def c2_tree_prune(spark: SparkSession, d: str) -> DataFrame:
-    texts = cut(load(spark, d, "node_texts"), "node_texts")
+    texts = stage(load(spark, d, "node_texts"), "node_texts")
     return region.tree_prune(views.questions(table(spark, d, "predictions"), "C2"), texts, token_sets(texts), C2).select("qid", "node_id", "score", "place")
 
 
