@@ -113,7 +113,8 @@ def c1_route(spark: SparkSession, d: str) -> DataFrame:
 def _pool(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Dense candidates of all C1 questions with their shared entities."""
     t = _c1(spark, d)
-    found = dense(t["questions"], load(spark, d, "node_texts"), C1.dense_pool).join(t["questions"].select("qid", "book_id"), "qid")
+    texts = stage(load(spark, d, "node_texts"), "texts")
+    found = stage(dense(t["questions"], texts, C1.dense_pool).join(t["questions"].select("qid", "book_id"), "qid"), "found")  # read twice
     return t, entity_overlap(found, t["entities"], load(spark, d, "node_entities"))
 
 

@@ -48,3 +48,8 @@ def test_stage_leaves_the_session_as_it_was(spark):
     before = spark.conf.get(key, None)
     assert sorted(r.n for r in stage(spark.range(9).selectExpr("id % 3 AS n").distinct(), "n").collect()) == [0, 1, 2]
     assert spark.conf.get(key, None) == before
+
+
+def test_the_pool_is_searched_once(spark, sf):
+    plan = catalog.queries()["c1_assign_keys"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsIn" not in plan  # the search was written before its rows are joined with entities
